@@ -1,3 +1,11 @@
 """Network-telemetry forecasting as PySpark DataFrame and Structured Streaming operators."""
 
+import sys
+
+from pyspark import cloudpickle
+
 __version__ = "0.1.0"
+
+# Functions that run inside tasks travel with the job, so executors need no
+# installed copy of this package.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])

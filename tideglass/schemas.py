@@ -60,10 +60,17 @@ SEQUENCE_LENGTH = 6
 
 # --- Spark schemas -------------------------------------------------------------
 
-PACKETS = T.StructType.fromDDL(
-    "ts timestamp, uid string, src_ip string, dst_ip string, is_orig boolean, "
-    "ip_version int, ttl int, ip_len int, is_tcp boolean, tcp_flags int, "
-    "tcp_win int, frame_len int"
+def _struct(**fields: T.DataType) -> T.StructType:
+    return T.StructType([T.StructField(name, kind) for name, kind in fields.items()])
+
+
+_TEXT, _TIME, _INT, _DOUBLE = T.StringType(), T.TimestampType(), T.IntegerType(), T.DoubleType()
+_DOUBLES = T.ArrayType(_DOUBLE)
+
+PACKETS = _struct(
+    ts=_TIME, uid=_TEXT, src_ip=_TEXT, dst_ip=_TEXT, is_orig=T.BooleanType(),
+    ip_version=_INT, ttl=_INT, ip_len=_INT, is_tcp=T.BooleanType(), tcp_flags=_INT,
+    tcp_win=_INT, frame_len=_INT,
 )
 
 FLOWS = T.StructType(
@@ -85,17 +92,17 @@ WINDOWS = T.StructType(
     + [T.StructField(name, T.DoubleType()) for name in WINDOW_FEATURES]
 )
 
-SEQUENCES = T.StructType.fromDDL(
-    "src_ip string, seq_id long, start_ts timestamp, end_ts timestamp, "
-    "x array<array<double>>, label int, prob double"
+SEQUENCES = _struct(
+    src_ip=_TEXT, seq_id=T.LongType(), start_ts=_TIME, end_ts=_TIME,
+    x=T.ArrayType(_DOUBLES), label=_INT, prob=_DOUBLE,
 )
 
-PREDICTIONS = T.StructType.fromDDL(
-    "src_ip string, ts timestamp, stage int, stage_name string, confidence double, "
-    "threat_prob double, probs array<double>, attn array<double>"
+PREDICTIONS = _struct(
+    src_ip=_TEXT, ts=_TIME, stage=_INT, stage_name=_TEXT, confidence=_DOUBLE,
+    threat_prob=_DOUBLE, probs=_DOUBLES, attn=_DOUBLES,
 )
 
-WEIGHTS = T.StructType.fromDDL("name string, shape array<int>, data array<double>")
+WEIGHTS = _struct(name=_TEXT, shape=T.ArrayType(_INT), data=_DOUBLES)
 
 
 def sensor_log_schema(fields: list[str]) -> T.StructType:
