@@ -87,10 +87,11 @@ SAMPLE_ATTACK_INTERVALS = [
 
 
 def flow_label_stages() -> dict[str, int]:
-    """Flow labels with the dash written as cp1252 byte, en dash or hyphen."""
+    """Flow labels with the dash as cp1252 byte, en dash, or UTF-8 read bytewise."""
     out = dict(FLOW_LABEL_STAGES)
-    for text, stage in FLOW_LABEL_STAGES.items():
-        out[text.replace("\x96", "–")] = stage
+    for dash in ("–", "–".encode().decode("iso-8859-1")):
+        for text, stage in FLOW_LABEL_STAGES.items():
+            out[text.replace("\x96", dash)] = stage
     return out
 
 

@@ -129,6 +129,8 @@ def ovr_curves(df: DataFrame, label: str, probs: str, classes: int, bins: int =
     scores are cut into ``bins`` ranges of about equally many scores each, so
     that no task sorts all scores of a class; the ranges are joined by totals.
     """
+    if bins < 2:
+        raise ValueError("at least two ranges are needed")
     scored = df.select(F.col(label).alias("_y"), F.posexplode(probs).alias("class", "score"))
     scored = scored.filter(F.col("class") < classes)
     hit = (F.col("_y") == F.col("class")).cast("long")

@@ -50,8 +50,8 @@ def read_flow_log(
 
     Files are grouped by header and read once per header; columns a file does
     not have are null. Numbers are coerced (``-`` becomes 0), ``ts`` becomes a
-    timestamp, and ``source_file`` names the file. Malformed lines are dropped,
-    or kept in ``_corrupt_record`` with ``corrupt=True``.
+    timestamp, and ``source_file`` names the file. A line with too few columns
+    keeps what it has; ``corrupt=True`` adds its text as ``_corrupt_record``.
     """
     headers = log_headers(spark, path, pattern, min_bytes)
     if not headers:
@@ -63,7 +63,7 @@ def read_flow_log(
             schema = schema.add("_corrupt_record", "string")
         part = (
             spark.read.schema(schema)
-            .options(sep="\t", comment="#", mode="PERMISSIVE" if corrupt else "DROPMALFORMED", quote="")
+            .options(sep="\t", comment="#", mode="PERMISSIVE", quote="")
             .csv(files)
             .withColumn(FILE, F.col("_metadata.file_path"))
         )

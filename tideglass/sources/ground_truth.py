@@ -22,8 +22,9 @@ from tideglass.operators.labels import map_label
 from tideglass.schemas import LABELLED_FLOW_COLUMNS, positional_flow_schema
 
 FILE = "source_file"
-# Labels hold a dash that is not valid UTF-8 in the original files.
-ENCODING = "windows-1252"
+# Labels hold a dash byte that is not valid UTF-8. A one-byte encoding reads every
+# file; the label dictionary knows the dash in each of its readings.
+ENCODING = "iso-8859-1"
 
 
 def csv_headers(spark: SparkSession, path: str, pattern: str = "*.csv") -> dict[str, list[str]]:
