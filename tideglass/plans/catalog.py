@@ -698,7 +698,7 @@ def criticality_score(spark, sf):
     )
     rows = predictions(spark, sf).withColumn("prob", F.col("threat_prob") / 100)
     out = forecast.criticality_score(rows, assets)
-    return rounded(out.select("src_ip", text(), "risk_score"), ["risk_score"])
+    return rounded(out.select("src_ip", text(), "risk_score"), ["risk_score"], 11)
 
 
 @query

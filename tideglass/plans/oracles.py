@@ -537,7 +537,7 @@ SELECT src_ip, {TS}, {STAGE_NAME.format(s="stage")} AS stage_name, {NEXT} AS nex
 FROM h WHERE rank = 1""")
 ORACLES["criticality_score"] = with_(PRED, """
 SELECT p.src_ip, strftime(p.ts, '%Y-%m-%d %H:%M:%S') AS ts,
-       round(least(1.0, p.threat_prob / 100 * coalesce(1 + c.c_acctbal / 10000, 1)), 6) AS risk_score
+       round(least(1.0, p.threat_prob / 100 * coalesce(1 + c.c_acctbal / 10000, 1)), 11) AS risk_score
 FROM pred p LEFT JOIN customer c ON CAST(c.c_custkey AS VARCHAR) = p.src_ip""")
 SHARES = EMB + """,
 shares AS (SELECT vec_id, i, abs(v) / sum(abs(v)) OVER (PARTITION BY vec_id) * 100 AS share FROM emb)"""
