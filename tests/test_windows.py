@@ -3,9 +3,11 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
+from tideglass.operators.labels import lookahead_label
 from tideglass.operators.windows import (
     change_features,
     net_window_features,
+    risk_features,
     traffic_mix,
     trend_features,
     window_features,
@@ -132,3 +134,21 @@ def test_traffic_mix(spark, at):
     row = traffic_mix(flows, "src_ip", "ts", 10, F.col("state") == "REJ", F.col("proto") == "tcp",
                       F.col("proto") == "udp", "i", "o", "port").first()
     assert (row.failed_pct, row.tcp_udp_ratio, row.in_out_ratio, row.distinct_ports) == (50.0, 1.0, 2.0, 2)
+
+
+@pytest.mark.parametrize("chunk", [31, 64, 4_096])
+def test_risk_features_equal_the_two_steps(spark, chunk):
+    _, flows = random_flows(spark, 250, 30_000, 7)
+    windows = net_window_features(
+        flows, "src_ip", "ts", 10, counted="uid", syn="dst_port", size="dst_port", duration="dst_port",
+        fwd="dst_port", bwd="dst_port", rate="dst_port", attack=(F.col("uid").cast("int") % 17 == 0).cast("int"),
+    ).cache()
+    want = lookahead_label(trend_features(windows, "src_ip", step=10), "src_ip", bucket_seconds=500)
+    got = risk_features(windows, "src_ip", 10, chunk=chunk)
+    assert got.columns == want.columns
+    assert got.count() == windows.count()
+    a = {(r.src_ip, r.ts): r for r in want.collect()}
+    for r in got.collect():
+        w = a[(r.src_ip, r.ts)]
+        assert r.label == w.label and r.syn_rate_diff == pytest.approx(w.syn_rate_diff)
+        assert r.packet_size_1m_avg == pytest.approx(w.packet_size_1m_avg)

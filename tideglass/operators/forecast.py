@@ -61,7 +61,7 @@ def stage_alerts(
     alert before it. Equal stages in between are not repeated."""
     loud = predictions.filter(F.col(prob) > threshold)
     numbered = row_index(loud, key, ts, tie, bucket_seconds)
-    out = over_frames(numbered, key, {"_before": lambda w: F.lag(stage).over(w)}, 1)
+    out = over_frames(numbered, key, lambda w: {"_before": F.lag(stage).over(w)}, 1)
     changed = F.col("_before").isNull() | (F.col("_before") != F.col(stage))
     severity = F.when(F.col(prob) > critical, "critical").otherwise("warning")
     return out.filter(changed).withColumn("severity", severity).drop("_before", POS)

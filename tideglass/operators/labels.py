@@ -4,12 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tideglass.dimensions import NO_RISK, RISK_HORIZONS
 from tideglass.functions.scalar import lookup, strip
-from tideglass.operators.timeline import as_keys, event_horizon, split_hot
+from tideglass.operators.timeline import BUCKET, DAY, as_keys, bucket, event_horizon, split_hot
 
 
 def map_label(df: DataFrame, label: str, stages: Mapping[str, int], out: str = "stage") -> DataFrame:
@@ -166,21 +166,34 @@ def lookahead_label(
     active: str = "attack_active",
     horizons: Sequence[tuple[str, float]] = RISK_HORIZONS,
     label: str = "label",
-    **spread,
+    bucket_seconds: int = DAY,
 ) -> DataFrame:
     """Risk class from the next window with an attack in the same series.
 
-    Distances run from window start to window start and must be positive.
+    Distances run from window start to window start and must be positive. A
+    series is cut into time buckets. Windows with an attack are copied into the
+    earlier buckets they can be seen from, so one shuffle is enough, and a task
+    never needs more of a series than one bucket.
     """
+    keys = as_keys(by)
+    us = 1_000_000
     reach = max(limit for _, limit in horizons)
-    starts = windows.filter(F.col(active) == 1).select(
-        *as_keys(by), F.col(ts).alias("start"), F.col(ts).alias("end")
+    size = max(bucket_seconds, int(reach) + 1)
+    t = F.unix_micros(ts)
+    home = bucket(ts, size)
+    first = F.floor((t - int(reach * us)) / F.lit(size * us)).cast("long")
+    attack = F.coalesce(F.col(active) == 1, F.lit(False))
+    seen_from = F.when(attack, F.sequence(home, first, F.lit(-1).cast("long"))).otherwise(F.array(home))
+    spread = windows.select("*", F.posexplode(seen_from).alias("_copy", BUCKET)).withColumn("_t", t)
+    later = Window.partitionBy(*keys, BUCKET).orderBy(F.desc("_t")).rangeBetween(
+        Window.unboundedPreceding, -1
+    )
+    gap = (F.min(F.when(attack, F.col("_t"))).over(later) - F.col("_t")) / F.lit(us)
+    return (
+        spread.withColumn(label, horizon_class(attack, gap, horizons))
+        .filter(F.col("_copy") == 0)
+        .drop("_copy", BUCKET, "_t")
     )
-    timed = event_horizon(windows, starts, by, ts, reach, **spread)
-    running = F.coalesce(F.col(active) == 1, F.lit(False))
-    return timed.withColumn(
-        label, horizon_class(running, F.col("_gap"), horizons)
-    ).drop("_inside", "_gap")
 
 
 def clear_of_boundaries(

@@ -29,10 +29,10 @@ def class_counts(df: DataFrame, label: str) -> DataFrame:
 
 
 def hash_cuts(df: DataFrame, label: str, quotas: DataFrame, seed, row_id: str) -> DataFrame:
-    """Largest (hash, id) that still fits each quota: (label, cut).
+    """First (hash, id) beyond each quota: (label, which, cut).
 
-    ``quotas`` is (label, quota), one row per class. ``cut`` is null if the
-    quota is 0; a class with no more rows than its quota gets no row here.
+    ``quotas`` is (label, which, quota); ``which`` tells several quotas of a
+    class apart. A class with no more rows than its quota gets no row here.
     """
     hashed = df.select(
         F.col(label).alias("_label"),
@@ -40,37 +40,41 @@ def hash_cuts(df: DataFrame, label: str, quotas: DataFrame, seed, row_id: str) -
     ).withColumn("_bin", F.shiftright("_key.h", 32 - PREFIX_BITS))
     bins = hashed.groupBy("_label", "_bin").agg(F.count(F.lit(1)).alias("_n"))
     upto = Window.partitionBy("_label").orderBy("_bin")
-    quota = quotas.select(F.col(label).alias("_label"), F.col("quota").cast("long").alias("_quota"))
+    quota = quotas.select(
+        F.col(label).alias("_label"), "which", F.col("quota").cast("long").alias("_quota")
+    )
     edges = (
         bins.withColumn("_sum", F.sum("_n").over(upto))
         .join(quota, "_label")
         .filter((F.col("_sum") > F.col("_quota")) & (F.col("_sum") - F.col("_n") <= F.col("_quota")))
-        .select("_label", "_bin", (F.col("_quota") - F.col("_sum") + F.col("_n")).alias("_left"))
+        .select(
+            "_label", "_bin", "which", (F.col("_quota") - F.col("_sum") + F.col("_n")).alias("_left")
+        )
     )
-    rank = Window.partitionBy("_label").orderBy("_key")
-    # The first row beyond the quota: everything before it is taken.
+    rank = Window.partitionBy("_label", "which").orderBy("_key")
     return (
         join_small(hashed, edges, ["_label", "_bin"])
         .withColumn("_rn", F.row_number().over(rank))
         .filter(F.col("_rn") == F.col("_left") + 1)
-        .select(F.col("_label").alias(label), F.col("_key").alias("_cut"))
+        .select(F.col("_label").alias(label), "which", F.col("_key").alias("_cut"))
     )
 
 
-def mark_quota(
-    df: DataFrame, label: str, quotas: DataFrame, seed, row_id: str, out: str = "picked"
+def mark_quotas(
+    df: DataFrame, label: str, quotas: DataFrame, seed, row_id: str, names: Sequence[str]
 ) -> DataFrame:
-    """Adds a flag: true for the ``quota`` rows of lowest hash in each class.
+    """Adds a flag per name: true for the ``quota`` rows of lowest hash per class.
 
-    Classes without a quota row are wholly true. ``row_id`` must be unique.
+    Classes without a quota of that name are wholly true. ``row_id`` must be
+    unique. All quotas are met in the same passes over the data.
     """
-    cuts = hash_cuts(df, label, quotas, seed, row_id)
-    key = F.struct(row_hash(seed, row_id).alias("h"), F.col(row_id).alias("id"))
-    return (
-        join_small(df, cuts, label, "left")
-        .withColumn(out, F.col("_cut").isNull() | (key < F.col("_cut")))
-        .drop("_cut")
+    cuts = hash_cuts(df, label, quotas, seed, row_id).groupBy(label).agg(
+        *[F.max(F.when(F.col("which") == n, F.col("_cut"))).alias(f"_cut_{n}") for n in names]
     )
+    key = F.struct(row_hash(seed, row_id).alias("h"), F.col(row_id).alias("id"))
+    flags = {n: F.col(f"_cut_{n}").isNull() | (key < F.col(f"_cut_{n}")) for n in names}
+    out = join_small(df, cuts, label, "left").withColumns(flags)
+    return out.drop(*[f"_cut_{n}" for n in names])
 
 
 def _quota_table(df: DataFrame, label: str, caps: Mapping) -> DataFrame:
@@ -85,7 +89,8 @@ def cap_by_class(
     """At most ``caps[class]`` rows of each listed class, exactly that many if
     there are enough; other classes are kept whole."""
     quotas = caps if isinstance(caps, DataFrame) else _quota_table(df, label, caps)
-    return mark_quota(df, label, quotas, seed, row_id, "_in").filter("_in").drop("_in")
+    quotas = quotas.withColumn("which", F.lit("_in"))
+    return mark_quotas(df, label, quotas, seed, row_id, ["_in"]).filter("_in").drop("_in")
 
 
 def sample_by_class(
@@ -166,17 +171,16 @@ def stratified_split(
     One hash order serves both cuts: the lowest hashes of a class are its test
     rows, the next ones its validation rows.
     """
-    counts = class_counts(df, label)
     test_n = F.round(F.col("n") * test).cast("long")
     both_n = test_n + F.round((F.col("n") - test_n) * validation).cast("long")
-    in_test = mark_quota(
-        df, label, counts.select(label, test_n.alias("quota")), seed, row_id, "_test"
-    )
-    in_both = mark_quota(
-        in_test, label, counts.select(label, both_n.alias("quota")), seed, row_id, "_both"
+    each = F.array(
+        F.struct(F.lit("_test").alias("which"), test_n.alias("quota")),
+        F.struct(F.lit("_both").alias("which"), both_n.alias("quota")),
     )
+    quotas = class_counts(df, label).select(label, F.inline(each))
     part = F.when(F.col("_test"), "test").when(F.col("_both"), "validation").otherwise("train")
-    return in_both.withColumn(out, part).drop("_test", "_both")
+    marked = mark_quotas(df, label, quotas, seed, row_id, ["_test", "_both"])
+    return marked.withColumn(out, part).drop("_test", "_both")
 
 
 def chronological_split(

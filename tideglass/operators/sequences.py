@@ -87,7 +87,7 @@ def sliding_sequences(
     rows = rows.select(*keys, ts, *tie, *keep, step_vector(features).alias("_x"))
     numbered = index_series(rows, keys, ts, step, tie, bucket_seconds)
     out = over_frames(
-        numbered, keys, {"x": lambda w: F.collect_list("_x").over(w.rowsBetween(-n, -1))}, n, chunk
+        numbered, keys, lambda w: {"x": F.collect_list("_x").over(w.rowsBetween(-n, -1))}, n, chunk
     ).filter(F.size("x") == n)
     if not keys:
         out = out.withColumn("src_ip", F.lit("Unknown"))

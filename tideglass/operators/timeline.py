@@ -15,9 +15,9 @@ helpers here cut every series into pieces of bounded length first:
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
 DAY = 86_400
@@ -101,19 +101,19 @@ def frame_chunks(df: DataFrame, before: int, chunk: int = CHUNK) -> DataFrame:
 def over_frames(
     df: DataFrame,
     key: str | Sequence[str] | None,
-    columns: dict,
+    columns: Callable[[WindowSpec], dict[str, Column]],
     before: int,
     chunk: int = CHUNK,
 ) -> DataFrame:
     """Adds columns computed over row frames of a numbered series.
 
-    ``columns`` maps a name to a function of the window spec, for example
-    ``lambda w: F.avg("x").over(w.rowsBetween(-5, 0))``. No frame may reach back
-    further than ``before`` rows, or forward at all.
+    ``columns`` makes named columns from the window spec, for example
+    ``lambda w: {"mean": F.avg("x").over(w.rowsBetween(-5, 0))}``. No frame may
+    reach back further than ``before`` rows, or forward at all.
     """
     spec = Window.partitionBy(*as_keys(key), PIECE).orderBy(POS)
     out = frame_chunks(df, before, chunk)
-    out = out.withColumns({name: make(spec) for name, make in columns.items()})
+    out = out.withColumns(columns(spec))
     return out.filter(~F.col(HALO)).drop(HALO, PIECE)
 
 

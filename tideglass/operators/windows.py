@@ -7,16 +7,20 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tideglass.dimensions import RISK_HORIZONS
 from tideglass.functions.scalar import byte_ratio, number
+from tideglass.operators.labels import horizon_class
 from tideglass.operators.timeline import (
     BUCKET,
     CHUNK,
     DAY,
+    HALO,
     PIECE,
     POS,
     SERIES,
     as_keys,
     bucket,
+    dense_index,
     index_series,
     over_frames,
 )
@@ -211,13 +215,62 @@ def trend_features(
 ) -> DataFrame:
     """First differences (0 for the first row) and rolling means over ``rows``
     rows. Give ``step`` (seconds) if the series is gap-filled: it saves a shuffle."""
-    columns = {}
-    for name, c in diffs.items():
-        columns[name] = lambda w, c=c: F.coalesce(F.col(c) - F.lag(c).over(w), F.lit(0.0))
-    for name, c in averages.items():
-        columns[name] = lambda w, c=c: F.avg(c).over(w.rowsBetween(1 - rows, 0))
     numbered = index_series(windows, by, ts, step, tie, bucket_seconds)
-    return over_frames(numbered, by, columns, max(rows - 1, 1)).drop(POS)
+    trends = lambda spec: _trends(spec, diffs, averages, rows)
+    return over_frames(numbered, by, trends, max(rows - 1, 1)).drop(POS)
+
+
+def risk_features(
+    windows: DataFrame,
+    by: str | Sequence[str] | None,
+    step: int,
+    ts: str = "ts",
+    diffs: Mapping[str, str] = NET_DIFFS,
+    averages: Mapping[str, str] = NET_AVERAGES,
+    rows: int = 6,
+    active: str = "attack_active",
+    horizons: Sequence[tuple[str, float]] = RISK_HORIZONS,
+    label: str = "label",
+    chunk: int = CHUNK,
+) -> DataFrame:
+    """Trend features and lookahead label of a gap-filled series in one shuffle.
+
+    Same columns as ``trend_features`` followed by ``lookahead_label``. Rows are
+    one ``step`` apart, so a chunk holds ``chunk`` rows of a series, the rows
+    the rolling frames need from the chunk before, and the attacks that can be
+    seen from it in the chunks after.
+    """
+    before = max(rows - 1, 1)
+    reach = int(max(limit for _, limit in horizons) // step)
+    if max(before, reach) > chunk:
+        raise ValueError("a chunk must be longer than the horizon")
+    attack = F.coalesce(F.col(active) == 1, F.lit(False))
+    home = F.floor(F.col(POS) / F.lit(chunk)).cast("long")
+    inside = F.pmod(F.col(POS), F.lit(chunk))
+    pieces = F.array_compact(
+        F.array(
+            home,
+            F.when(inside >= chunk - before, home + 1),
+            F.when(attack & (inside < reach), home - 1),
+        )
+    )
+    spread = dense_index(windows, ts, step).select("*", F.posexplode(pieces).alias(HALO, PIECE))
+    part = Window.partitionBy(*as_keys(by), PIECE)
+    forward, backward = part.orderBy(POS), part.orderBy(F.desc(POS))
+    later = backward.rangeBetween(Window.unboundedPreceding, -1)
+    gap = (F.min(F.when(attack, F.col(POS))).over(later) - F.col(POS)) * F.lit(step)
+    return (
+        spread.withColumns(_trends(forward, diffs, averages, rows))
+        .withColumn(label, horizon_class(attack, gap, horizons))
+        .filter(F.col(HALO) == 0)
+        .drop(HALO, PIECE, POS)
+    )
+
+
+def _trends(spec, diffs: Mapping[str, str], averages: Mapping[str, str], rows: int) -> dict:
+    out = {n: F.coalesce(F.col(c) - F.lag(c).over(spec), F.lit(0.0)) for n, c in diffs.items()}
+    out |= {n: F.avg(c).over(spec.rowsBetween(1 - rows, 0)) for n, c in averages.items()}
+    return out
 
 
 def change_features(
@@ -234,19 +287,22 @@ def change_features(
 ) -> DataFrame:
     """Relative change to the previous window, rolling mean and deviation, and
     the linear slope per window over the last ``rows`` windows."""
-    columns = {}
-    for c in changes:
-        columns[f"{c}_pct_change"] = lambda w, c=c: F.try_divide(
-            F.col(c) - F.lag(c).over(w), F.lag(c).over(w)
-        )
-    for c in rolling:
-        columns[f"{c}_roll_mean"] = lambda w, c=c: F.avg(c).over(w.rowsBetween(1 - rows, 0))
-        columns[f"{c}_roll_std"] = lambda w, c=c: F.stddev_samp(c).over(w.rowsBetween(1 - rows, 0))
-    for c in slopes:
+
+    def columns(spec) -> dict:
+        frame = spec.rowsBetween(1 - rows, 0)
         # Positions relative to the chunk keep the squares of the slope small.
-        columns[f"{c}_slope"] = lambda w, c=c: F.regr_slope(
-            F.col(c), (F.col(POS) - F.col(PIECE) * CHUNK).cast("double")
-        ).over(w.rowsBetween(1 - rows, 0))
+        x = (F.col(POS) - F.col(PIECE) * CHUNK).cast("double")
+        out = {}
+        for c in changes:
+            before = F.lag(c).over(spec)
+            out[f"{c}_pct_change"] = F.try_divide(F.col(c) - before, before)
+        for c in rolling:
+            out[f"{c}_roll_mean"] = F.avg(c).over(frame)
+            out[f"{c}_roll_std"] = F.stddev_samp(c).over(frame)
+        for c in slopes:
+            out[f"{c}_slope"] = F.regr_slope(F.col(c), x).over(frame)
+        return out
+
     numbered = index_series(windows, by, ts, step, tie, bucket_seconds)
     return over_frames(numbered, by, columns, max(rows - 1, 1)).drop(POS)
 

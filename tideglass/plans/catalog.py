@@ -18,6 +18,7 @@ from tideglass.operators.scaling import fit_robust_scaler
 from tideglass.operators.windows import (
     change_features,
     net_window_features,
+    risk_features,
     traffic_mix,
     trend_features,
 )
@@ -40,6 +41,7 @@ from tideglass.plans.adapters import (
     vectors,
     windows,
 )
+from tideglass.plans.jobs import materialise
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -128,8 +130,7 @@ def lookahead_label_by_source(spark, sf):
 @query
 def risk_class_distribution(spark, sf):
     """Windows, trends, lookahead labels, class counts: the whole risk chain."""
-    trends = trend_features(net_windows(spark, sf, "src_ip"), "src_ip", step=HOUR)
-    labelled = labels.lookahead_label(trends, "src_ip", horizons=HORIZONS, bucket_seconds=BUCKET)
+    labelled = risk_features(net_windows(spark, sf, "src_ip"), "src_ip", HOUR, horizons=HORIZONS)
     rising = (F.col("connections_per_sec_diff") > 0).cast("long")
     out = labelled.groupBy("label").agg(
         F.count(F.lit(1)).alias("n"),
@@ -454,6 +455,7 @@ def balance_active(spark, sf):
     rows = sampling.with_row_key(windows(spark, sf).withColumn("orig_pkts", F.lit(0)), ["src_ip"], "k")
     rows = rows.withColumn("id", F.concat_ws("|", "k", F.unix_seconds("ts").cast("string")))
     labelled = labels.label_by_entity(rows, labels.attack_database(_truth(spark, sf)))
+    labelled = materialise(labelled, "active")
     out = sampling.balance_active(labelled, "stage", 0, 1_500, 42, "id")
     return out.select("id", "stage")
 
@@ -462,7 +464,7 @@ def balance_active(spark, sf):
 def balance_sequences(spark, sf):
     seqs = sequences.make_sequences(_labelled_active(spark, sf), features=WINDOW_COLUMNS, bucket_seconds=BUCKET)
     keyed = sampling.with_row_key(seqs, ["src_ip", "seq_id"], "id")
-    out = sampling.balance_sequences(keyed, "label", 0, floor=50, ratio=2, seed=42, row_id="id")
+    out = sampling.balance_sequences(materialise(keyed.select("id", "label"), "sequences"), "label", 0, floor=50, ratio=2, seed=42, row_id="id")
     return out.select("id", "label")
 
 
@@ -472,7 +474,7 @@ def balance_risk(spark, sf):
         net_windows(spark, sf, "src_ip"), "src_ip", horizons=HORIZONS, bucket_seconds=BUCKET
     )
     keyed = labelled.withColumn("id", F.concat_ws("|", "src_ip", F.unix_seconds("ts").cast("string")))
-    out = sampling.balance_risk(keyed, "label", ratio=1, seed=42, row_id="id")
+    out = sampling.balance_risk(materialise(keyed.select("id", "label"), "risk"), "label", ratio=1, seed=42, row_id="id")
     return out.select("id", "label")
 
 
