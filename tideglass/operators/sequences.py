@@ -78,6 +78,7 @@ def sliding_sequences(
     tie: Sequence[str] = (),
     bucket_seconds: int = DAY,
     chunk: int = CHUNK,
+    partitions: int | None = None,
 ) -> DataFrame:
     """The ``n`` rows before each row, as a sequence stamped with that row's
     time. A source with r rows gives max(r - n, 0) sequences. Without a key all
@@ -87,7 +88,7 @@ def sliding_sequences(
     rows = rows.select(*keys, ts, *tie, *keep, step_vector(features).alias("_x"))
     numbered = index_series(rows, keys, ts, step, tie, bucket_seconds)
     out = over_frames(
-        numbered, keys, lambda w: {"x": F.collect_list("_x").over(w.rowsBetween(-n, -1))}, n, chunk
+        numbered, keys, lambda w: {"x": F.collect_list("_x").over(w.rowsBetween(-n, -1))}, n, chunk, partitions
     ).filter(F.size("x") == n)
     if not keys:
         out = out.withColumn("src_ip", F.lit("Unknown"))

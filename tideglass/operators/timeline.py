@@ -104,15 +104,20 @@ def over_frames(
     columns: Callable[[WindowSpec], dict[str, Column]],
     before: int,
     chunk: int = CHUNK,
+    partitions: int | None = None,
 ) -> DataFrame:
     """Adds columns computed over row frames of a numbered series.
 
     ``columns`` makes named columns from the window spec, for example
     ``lambda w: {"mean": F.avg("x").over(w.rowsBetween(-5, 0))}``. No frame may
-    reach back further than ``before`` rows, or forward at all.
+    reach back further than ``before`` rows, or forward at all. ``partitions``
+    fixes the number of tasks, for costly Python work on the result; otherwise
+    adaptive execution sizes them by bytes.
     """
     spec = Window.partitionBy(*as_keys(key), PIECE).orderBy(POS)
     out = frame_chunks(df, before, chunk)
+    if partitions:
+        out = out.repartition(partitions, *as_keys(key), PIECE)
     out = out.withColumns(columns(spec))
     return out.filter(~F.col(HALO)).drop(HALO, PIECE)
 

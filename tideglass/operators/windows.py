@@ -247,12 +247,11 @@ def risk_features(
     attack = F.coalesce(F.col(active) == 1, F.lit(False))
     home = F.floor(F.col(POS) / F.lit(chunk)).cast("long")
     inside = F.pmod(F.col(POS), F.lit(chunk))
-    pieces = F.array_compact(
-        F.array(
-            home,
-            F.when(inside >= chunk - before, home + 1),
-            F.when(attack & (inside < reach), home - 1),
-        )
+    none = F.array().cast("array<bigint>")
+    pieces = F.concat(
+        F.array(home),
+        F.when(inside >= chunk - before, F.array(home + 1)).otherwise(none),
+        F.when(attack & (inside < reach), F.array(home - 1)).otherwise(none),
     )
     spread = dense_index(windows, ts, step).select("*", F.posexplode(pieces).alias(HALO, PIECE))
     part = Window.partitionBy(*as_keys(by), PIECE)
