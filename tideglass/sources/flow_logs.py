@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from tideglass.functions.scalar import epoch_ts, number
 from tideglass.schemas import FLOW_MEANS, sensor_log_schema
+from tideglass.sources.heads import head_lines
 
 MIN_BYTES = 100
 FILE = "source_file"
@@ -21,21 +22,12 @@ def log_headers(
     """Files by the columns their first ``#fields`` line lists.
 
     Files below ``min_bytes`` and files without such a line are left out. Only
-    header lines reach the driver, one per file.
+    the head of a file is read, and only its header line reaches the driver.
     """
-    lines = (
-        spark.read.option("pathGlobFilter", pattern)
-        .text(path)
-        .select("value", F.col("_metadata.file_path").alias("file"),
-                F.col("_metadata.file_size").alias("size"),
-                F.monotonically_increasing_id().alias("at"))
-        .filter(F.col("value").startswith("#fields") & (F.col("size") >= min_bytes))
-        .groupBy("file")
-        .agg(F.min_by("value", "at").alias("value"))
-    )
+    lines = head_lines(spark, path, pattern, "#fields", min_bytes)
     found: dict[tuple[str, ...], list[str]] = defaultdict(list)
     for row in lines.toLocalIterator():
-        found[tuple(row.value.strip().split("\t")[1:])].append(row.file)
+        found[tuple(row.line.strip().split("\t")[1:])].append(row.file)
     return dict(found)
 
 

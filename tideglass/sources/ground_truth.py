@@ -20,6 +20,7 @@ from tideglass.functions.scalar import (
 )
 from tideglass.operators.labels import map_label
 from tideglass.schemas import LABELLED_FLOW_COLUMNS, positional_flow_schema
+from tideglass.sources.heads import head_lines
 
 FILE = "source_file"
 # Labels hold a dash byte that is not valid UTF-8. A one-byte encoding reads every
@@ -29,15 +30,8 @@ ENCODING = "iso-8859-1"
 
 def csv_headers(spark: SparkSession, path: str, pattern: str = "*.csv") -> dict[str, list[str]]:
     """First line of each file, split at commas. One short row per file."""
-    lines = (
-        spark.read.options(pathGlobFilter=pattern, encoding=ENCODING)
-        .text(path)
-        .select("value", F.col("_metadata.file_path").alias("file"),
-                F.monotonically_increasing_id().alias("at"))
-        .groupBy("file")
-        .agg(F.min_by("value", "at").alias("value"))
-    )
-    return {r.file: r.value.split(",") for r in lines.toLocalIterator()}
+    lines = head_lines(spark, path, pattern)
+    return {r.file: r.line.split(",") for r in lines.toLocalIterator()}
 
 
 def find_columns(names: Iterable[str]) -> tuple[str | None, str | None, str | None]:

@@ -35,11 +35,12 @@ def append_windows(df: DataFrame, path: str, ts: str = "ts") -> None:
     """Append to a parquet table partitioned by day.
 
     Rows are spread by day and a hash of the row, so that a day is written by
-    several tasks and no task writes to many days.
+    several tasks and no task writes to many days; a file is sorted by time.
     """
     (
         df.withColumn("day", F.to_date(ts))
         .repartition("day", F.pmod(F.xxhash64(*df.columns), F.lit(8)))
+        .sortWithinPartitions("day", ts)
         .write.mode("append")
         .partitionBy("day")
         .parquet(path)
