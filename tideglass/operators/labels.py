@@ -63,7 +63,7 @@ def label_by_entity(
     db = database.select(F.col(db_key).alias("_key"), F.col(db_stage).cast("int").alias("_stage"))
     db = db.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
     keyed = windows.withColumns(
-        {"_key": strip(F.col(key).cast("string")), "_salt": split_hot([], salts, *windows.columns)}
+        {"_key": strip(F.col(key).cast("string")), "_salt": split_hot(salts, *windows.columns)}
     )
     return (
         keyed.join(db, ["_key", "_salt"], "left")

@@ -136,7 +136,7 @@ def index_series(
     return row_index(df, key, ts, tie, bucket_seconds)
 
 
-def split_hot(keys: Sequence[str], splits: int, *spread: Column | str) -> Column:
+def split_hot(splits: int, *spread: Column | str) -> Column:
     """A stable salt in [0, splits) that spreads one hot group over tasks."""
     return F.pmod(F.xxhash64(*spread), F.lit(splits)).cast("int")
 
@@ -183,7 +183,7 @@ def event_horizon(
         {
             BUCKET: bucket(ts, size),
             "_t": F.unix_micros(ts),
-            "_salt": split_hot(keys, salts, *df.columns),
+            "_salt": split_hot(salts, *df.columns),
         }
     )
     both = rows.withColumn("_row", F.lit(True)).unionByName(seen, allowMissingColumns=True)
