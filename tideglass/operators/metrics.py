@@ -141,9 +141,18 @@ def ovr_curves(df: DataFrame, label: str, probs: str, classes: int, bins: int =
     )
     cuts = [i / bins for i in range(1, bins)]
     splits = counts.groupBy("class").agg(F.percentile_approx("score", cuts, 2_000).alias("_cuts"))
-    binned = join_small(counts, splits, "class").withColumn(
-        "_bin", F.size(F.filter("_cuts", lambda c: c < F.col("score")))
-    ).drop("_cuts")
+    # Every 16th cut narrows the search down to 16 of them.
+    splits = splits.withColumn("_coarse", F.filter("_cuts", lambda c, i: i % 16 == 15))
+
+    def under(array: Column | str) -> Column:
+        return F.size(F.filter(array, lambda c: c < F.col("score")))
+
+    binned = (
+        join_small(counts, splits, "class")
+        .withColumn("_bin", under("_coarse") * 16)
+        .withColumn("_bin", F.col("_bin") + under(F.slice("_cuts", F.col("_bin") + 1, 16)))
+        .drop("_cuts", "_coarse")
+    )
     totals = binned.groupBy("class", "_bin").agg(F.sum("pos").alias("p"), F.sum("neg").alias("q"))
     above = Window.partitionBy("class").orderBy(F.desc("_bin")).rowsBetween(Window.unboundedPreceding, -1)
     whole = Window.partitionBy("class")
