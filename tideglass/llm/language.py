@@ -139,7 +139,7 @@ def fit_language(docs: DataFrame, usable: Column, per_language: int = PER_LANGUA
         full = np.concatenate((w * idf[:, None] * SCALE, np.zeros((1, len(names))))).astype("<f4")
         return pa.table([pa.array([full.tobytes()], pa.binary()), pa.array([b.astype("<f8").tobytes()], pa.binary()), pa.array([heat])], names=["w", "b", "heat"])
 
-    got = drawn.groupBy(F.lit(1)).applyInArrow(fit, "w binary, b binary, heat double").first()
+    got = drawn.withColumn("all", F.lit(True)).groupBy("all").applyInArrow(fit, "w binary, b binary, heat double").first()
     return LanguageModel(names, np.frombuffer(got.w, "<f4").reshape(-1, len(names)), np.frombuffer(got.b, "<f8"), got.heat)
 
 
