@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tideglass.llm import decontamination, language, near_duplicates, packing, token_counts, toxicity
+from tideglass.llm import decontamination, language, near_duplicates, packing, substring_dedup, token_counts, toxicity
 from tideglass.llm.common import held_out
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -65,3 +65,10 @@ def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op9_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents that hold a copy of a benchmark item, exact or edited, with the place of it."""
     return decontamination.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+@query
+def op10_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Bytes of every document covered by 400-byte strings that occur elsewhere too, and what is left."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return substring_dedup.repeat_digests(substring_dedup.with_repeats(docs))
