@@ -117,7 +117,7 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, train_rows: int = TRAIN_ROW
             yield pa.record_batch([batch.column("label"), pa.array([own[found[a:b]] for a, b in zip(cuts[:-1], cuts[1:], strict=True)], pa.list_(pa.int32()))], ["label", "at"])
 
     held = train.mapInArrow(rows, "label int, at array<int>").toPandas()  # at most train_rows rows
-    w, b = _fit([(x, ratios[x]) for x in map(np.asarray, held["at"])] if len(best) else [], held["label"].to_numpy(float), len(grams))
+    w, b = _fit([(x, ratios[x]) for x in (np.asarray(x, np.int64) for x in held["at"])] if len(best) else [], held["label"].to_numpy(float), len(grams))
     weights = np.zeros((1 << BITS) + 1, np.float32)
     weights[grams] = w * ratios
     return ToxicModel(weights, b)
