@@ -47,3 +47,20 @@ def text_blocks(batches: Iterator[pa.RecordBatch], column: str, limit: int = BLO
             held += int(n)
         if start < batch.num_rows:
             yield batch.slice(start)
+
+
+#: Bits of the table in :func:`maybe_in`: at most 2^18 rows of two numbers are broadcast.
+TABLE_BITS = 24
+
+
+def maybe_in(df: DataFrame, key: Column, wanted: DataFrame, column: str) -> DataFrame:
+    """Rows of ``df`` whose ``key`` may be in ``wanted[column]``: all that are, few others while these are few.
+
+    Spares the shuffle of long rows before a join. The table of hash bits that is broadcast has a fixed size; where
+    it is full, more rows pass, and the join decides anyway.
+    """
+    slot = lambda c: F.shiftrightunsigned(F.xxhash64(c, F.lit("maybe")), 64 - TABLE_BITS)
+    bits = wanted.select(slot(F.col(column)).alias("s")).groupBy(F.shiftright("s", 6).alias("_word")).agg(F.bit_or(F.expr("shiftleft(1L, cast(s & 63 as int))")).alias("_bits"))
+    inside = F.expr("shiftrightunsigned(_bits, cast(_slot & 63 as int)) & 1")
+    marked = df.withColumn("_slot", slot(key)).withColumn("_word", F.shiftright("_slot", 6))
+    return marked.join(F.broadcast(bits), "_word").where(inside == 1).select(*df.columns)

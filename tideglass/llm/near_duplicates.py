@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tideglass.llm.common import kept_table, text_blocks
+from tideglass.llm.common import kept_table, maybe_in, text_blocks
 from tideglass.llm.components import components
 from tideglass.llm.words import mixed, shingles, split_words
 
@@ -99,10 +99,13 @@ def _confirm(percent: int):
 
 
 def _stars(rows: DataFrame, step: int) -> DataFrame:
-    """Pairs ``a, b`` of a drawn row of each bucket with all rows of other components in it."""
-    drawn = F.struct(F.xxhash64("bucket", "id", F.lit(step)).alias("h"), "id", "comp")
-    heads = rows.groupBy("bucket").agg(F.min(drawn).alias("lo"), F.max(drawn).alias("hi"), F.min("comp").alias("c0"), F.max("comp").alias("c1")).where("c0 <> c1")
-    met = rows.join(heads, "bucket").select("id", "comp", F.explode(F.array("lo", "hi")).alias("head"))
+    """Pairs ``a, b`` of a drawn row of each bucket with all rows of other components in it.
+
+    The first draw goes by a hash of the row alone, so buckets of one group draw the same row and make equal pairs.
+    """
+    drawn = F.struct((F.xxhash64("id") if step == 1 else F.xxhash64("bucket", "id", F.lit(step))).alias("h"), "id", "comp")
+    heads = rows.groupBy("bucket").agg(F.min(drawn).alias("head"), F.min("comp").alias("c0"), F.max("comp").alias("c1")).where("c0 <> c1")
+    met = rows.join(heads, "bucket").select("id", "comp", "head")
     return met.where(F.col("comp") != F.col("head.comp")).select(F.least("id", "head.id").alias("a"), F.greatest("id", "head.id").alias("b")).distinct()
 
 
@@ -155,7 +158,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         if sets is not None:
             wanted = wanted.join(sets.select("set_key"), "set_key", "left_anti")
         of = wanted.join(classes, "set_key").select(F.col("least").alias("doc_id"), "set_key")
-        texts = docs.join(of.withColumnRenamed("doc_id", "least"), F.col("doc_id").eqNullSafe(F.col("least"))).select("set_key", "text")
+        texts = maybe_in(docs, F.col("doc_id"), of, "doc_id").join(of.withColumnRenamed("doc_id", "least"), F.col("doc_id").eqNullSafe(F.col("least"))).select("set_key", "text")
         more = texts.mapInArrow(_sets(size), "set_key binary, members binary").where("members is not null").dropDuplicates(["set_key"])
         if sets is None or not near.isEmpty():
             more = kept_table(more, f"sets{step}")
