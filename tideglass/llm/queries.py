@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tideglass.llm import decontamination, language, near_duplicates, packing, substring_dedup, token_counts, toxicity
+from tideglass.llm import chats, decontamination, language, near_duplicates, packing, substring_dedup, token_counts, toxicity
 from tideglass.llm.common import held_out
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -72,3 +72,31 @@ def op10_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Bytes of every document covered by 400-byte strings that occur elsewhere too, and what is left."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return substring_dedup.repeat_digests(substring_dedup.with_repeats(docs))
+
+
+@query
+def op2_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Maximal conversations of the log, rendered."""
+    return chats.maximal_conversations(table(spark, sf_dir, "conversations"))
+
+
+ORACLES["op2_chat_formatting"] = f"""
+WITH turns AS (SELECT DISTINCT conv_id, turn, role, text FROM conversations),
+placed AS (
+  SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role NULLS FIRST, text NULLS FIRST) AS place FROM turns),
+said AS (
+  SELECT conv_id, place, sha256(coalesce('r' || role, 'n') || chr(31) || coalesce('t' || text, 'n')) AS one,
+         '<|' || coalesce(role, 'user') || '|>' || chr(10) || coalesce(text, '') || chr(10) AS line
+  FROM placed),
+prefixes AS (
+  SELECT conv_id, place, line, string_agg(one, ',') OVER (PARTITION BY conv_id ORDER BY place) AS prefix,
+         count(*) OVER (PARTITION BY conv_id) AS n_turns
+  FROM said),
+whole AS (
+  SELECT prefix, n_turns, min(conv_id) AS conv_id, count(*) AS copies FROM prefixes WHERE place = n_turns GROUP BY ALL),
+kept AS (
+  SELECT * FROM whole WHERE prefix NOT IN (SELECT prefix FROM prefixes WHERE place < n_turns))
+SELECT p.conv_id, (p.place - 1) // {chats.PART_TURNS} AS part, k.n_turns, k.copies, string_agg(p.line, '' ORDER BY p.place) AS rendered
+FROM prefixes p JOIN kept k ON p.conv_id IS NOT DISTINCT FROM k.conv_id
+GROUP BY ALL
+"""
