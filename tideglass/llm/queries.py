@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tideglass.llm import chats, decontamination, language, near_duplicates, packing, substring_dedup, token_counts, toxicity
+from tideglass.llm import chats, decontamination, language, language_model, near_duplicates, packing, substring_dedup, token_counts, toxicity
 from tideglass.llm.common import held_out
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -100,3 +100,11 @@ SELECT p.conv_id, (p.place - 1) // {chats.PART_TURNS} AS part, k.n_turns, k.copi
 FROM prefixes p JOIN kept k ON p.conv_id IS NOT DISTINCT FROM k.conv_id
 GROUP BY ALL
 """
+
+
+@query
+def op7_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Masked pseudo-log-likelihood of every document under a model trained on the corpus."""
+    docs = table(spark, sf_dir, "documents")
+    vocabulary = language_model.fit_vocabulary(docs)
+    return language_model.score_documents(docs, vocabulary, language_model.fit_model(docs, vocabulary))
