@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tideglass.llm import chats, decontamination, language, language_model, near_duplicates, packing, substring_dedup, token_counts, toxicity
+from tideglass.llm import chats, decontamination, language, language_model, near_duplicates, packing, substring_dedup, token_counts, toxicity, vector_duplicates
 from tideglass.llm.common import held_out
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -108,3 +108,9 @@ def op7_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     vocabulary = language_model.fit_vocabulary(docs)
     return language_model.score_documents(docs, vocabulary, language_model.fit_model(docs, vocabulary))
+
+
+@query
+def op3_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Links and components of all vectors with a cosine of 0.9 or more."""
+    return vector_duplicates.near_vectors(table(spark, sf_dir, "embeddings"))
