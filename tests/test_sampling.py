@@ -2,7 +2,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tideglass.operators import sampling as S
-from tideglass.operators.joins import join_small
+from tideglass.operators.joins import null_safe_join
 
 
 @pytest.fixture
@@ -87,10 +87,16 @@ def test_fuse(spark, at):
     assert sorted((r.dataset, r.x, r.y) for r in out.collect()) == [("a", 1.0, 0), ("b", 2.0, 3), ("b", 2.0, 3)]
 
 
-def test_join_small_beyond_the_limit(spark):
-    big, small = spark.range(100), spark.range(50).withColumn("v", F.lit(1))
-    for limit in (10, 1_000):
-        assert join_small(big, small, "id", "left", limit).filter("v = 1").count() == 50
+def test_null_safe_join(spark):
+    left = spark.createDataFrame([(1, "a"), (None, "b")], "k int, v string")
+    right = spark.createDataFrame([(1, 10), (None, 20)], "k int, w int")
+    assert sorted(null_safe_join(left, right, "k", "left").select("v", "w").collect()) == [("a", 10), ("b", 20)]
+
+
+def test_null_labels_are_split_like_a_class(spark):
+    df = spark.range(100).selectExpr("cast(id as string) id", "case when id % 2 = 0 then 'x' end label")
+    out = S.stratified_split(df, "label").groupBy("label", "part").count().collect()
+    assert {(r.label, r.part): r["count"] for r in out if r.label is None} == {(None, "test"): 10, (None, "validation"): 4, (None, "train"): 36}
 
 
 def test_shuffle_is_reproducible(rows):

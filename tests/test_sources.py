@@ -76,9 +76,32 @@ def test_ground_truth(spark, tmp_path):
     }
 
 
-def test_find_columns():
-    assert ground_truth.find_columns(["Src IP", "Timestamp", "Label", "source ip2"]) == ("source ip2", "Timestamp", "Label")
-    assert ground_truth.find_columns(["x"]) == (None, None, None)
+def test_places_of_columns():
+    assert ground_truth.role_places(["Src IP", "Timestamp", "Label", "source ip2"]) == {"src_ip": 3, "ts": 1, "label": 2}
+    assert ground_truth.role_places(["x"]) == {}
+
+
+def test_header_behind_long_comments(spark, tmp_path):
+    rows = [(1518598803, f"C{i}", "h", 80, 1, 2, 3) for i in range(50)]
+    write_log(tmp_path / "a.log", FIELDS, rows)
+    write_log(tmp_path / "b.log", FIELDS, rows)
+    long = tmp_path / "b.log"
+    long.write_text(("#" + "x" * 999 + "\n") * 2_100 + long.read_text())
+    assert flow_logs.read_flow_log(spark, str(tmp_path)).count() == 100
+
+
+def test_skipped_files_are_listed(spark, logs):
+    got = {r.source_file.rsplit("/", 1)[1]: r.reason for r in flow_logs.skipped_logs(spark, logs).collect()}
+    assert got == {"tiny.log": "too small", "noise.log": "no header"}
+
+
+def test_quoted_and_marked_headers(spark, tmp_path):
+    (tmp_path / "a.csv").write_text('"Src IP","Timestamp","Label"\n1.1.1.1,05-07-2017 9:05,BENIGN\n')
+    (tmp_path / "b.csv").write_text("\ufeffsrc_ip,timestamp,label\n2.2.2.2,2018/02/14 09:00,BENIGN\n3.3.3.3,2018-02-14 09:00:00.123,DDoS\n4.4.4.4,5 July 2017 09:05,DDoS\n", encoding="utf-8")
+    (tmp_path / "c.csv").write_text("a,b\n1,2\n")
+    got = {r.src_ip: str(r.ts) for r in ground_truth.read_labelled_flows(spark, str(tmp_path)).collect()}
+    assert got == {"1.1.1.1": "2017-07-05 09:05:00", "2.2.2.2": "2018-02-14 09:00:00", "3.3.3.3": "2018-02-14 09:00:00.123000", "4.4.4.4": "2017-07-05 09:05:00"}
+    assert [r.source_file.rsplit("/", 1)[1] for r in ground_truth.skipped_truth_files(spark, str(tmp_path)).collect()] == ["c.csv"]
 
 
 def test_numeric_flows(spark, tmp_path):

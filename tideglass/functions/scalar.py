@@ -7,15 +7,20 @@ from collections.abc import Iterable, Mapping
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+# Tried in order on text with ``/`` between the parts of a date. A month first
+# is read only where no day-first reading exists.
 DAY_FIRST_FORMATS = (
-    "d/M/yyyy H:mm:ss",
-    "d/M/yyyy H:mm",
-    "d/M/yyyy h:mm:ss a",
-    "d/M/yyyy h:mm a",
-    "yyyy-MM-dd H:mm:ss",
-    "yyyy-MM-dd'T'H:mm:ss",
-    "yyyy-MM-dd H:mm",
-    "yyyy-MM-dd",
+    "d/M/yyyy[ H:mm[:ss[.SSSSSSSSS]]]",
+    "d/M/yyyy h:mm[:ss] a",
+    "yyyy/M/d[ H:mm[:ss[.SSSSSSSSS]]]",
+    "yyyy/M/d h:mm[:ss] a",
+    "M/d/yyyy[ H:mm[:ss[.SSSSSSSSS]]]",
+    "M/d/yyyy h:mm[:ss] a",
+    "d/M/yy[ H:mm[:ss]]",
+    "d MMMM yyyy[ H:mm[:ss]]",
+    "d MMM yyyy[ H:mm[:ss]]",
+    "MMMM d yyyy[ H:mm[:ss]]",
+    "MMM d yyyy[ H:mm[:ss]]",
 )
 
 # --- fixed values: TCP header flag bits --------------------------------------
@@ -56,8 +61,13 @@ def epoch_ts(c: Column | str) -> Column:
 
 
 def parse_ts_dayfirst(c: Column | str, formats: Iterable[str] = DAY_FIRST_FORMATS) -> Column:
-    """First format that fits wins; null if none does."""
-    text = strip(c)
+    """First format that fits wins; null if none does.
+
+    Day, month and year may be parted by ``/``, ``-`` or ``.``, and date and
+    time by a space or ``T``; names of months are English.
+    """
+    text = F.regexp_replace(strip(c), r"^(\d{1,4})[-./](\d{1,2})[-./](\d{1,4})", "$1/$2/$3")
+    text = F.regexp_replace(F.regexp_replace(text, r"^(\S+)T(?=\d)", "$1 "), r"[\s,]+", " ")
     return F.coalesce(*[F.try_to_timestamp(text, F.lit(f)) for f in formats])
 
 

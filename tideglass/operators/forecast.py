@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from tideglass.dimensions import STAGE_NAMES
 from tideglass.functions.scalar import lookup, time_text
 from tideglass.functions.scores import argmax, next_stage, percent_weights, softmax, status_band
-from tideglass.operators.joins import join_small
+from tideglass.operators.joins import null_safe_join
 from tideglass.operators.timeline import DAY, POS, over_frames, row_index
 
 
@@ -87,7 +87,7 @@ def telemetry(
         (F.col("flow_count") / width).alias("connections_per_sec"),
         (F.col("flag_syn") / width).alias("syn_rate"),
     )
-    return join_small(rates, latest, [key, ts], max_rows=max(n, 1))
+    return null_safe_join(rates, latest, [key, ts])
 
 
 def history(predictions: DataFrame, n: int, key: str = "src_ip", ts: str = "ts", tie: Sequence[str] = ()) -> DataFrame:
@@ -117,7 +117,7 @@ def criticality_score(
     df: DataFrame, assets: DataFrame, key: str = "src_ip", prob: str = "prob", weight: str = "weight", default: float = 1.0
 ) -> DataFrame:
     """Probability times the weight of the asset, at most 1."""
-    joined = join_small(df, assets.select(key, F.col(weight).alias("_w")), key, "left")
+    joined = null_safe_join(df, assets.select(key, F.col(weight).alias("_w")), key, "left")
     score = F.least(F.lit(1.0), F.col(prob) * F.coalesce("_w", F.lit(default)))
     return joined.withColumn("risk_score", score).drop("_w")
 

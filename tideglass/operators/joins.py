@@ -1,29 +1,20 @@
-"""Joins with a table that is expected, but not known, to be small."""
+"""Joins that treat nulls as equal keys."""
 
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-MAX_BROADCAST_ROWS = 10_000
 
+def null_safe_join(df: DataFrame, other: DataFrame, on: Sequence[str] | str, how: str = "inner") -> DataFrame:
+    """Like ``df.join(other, on, how)``, but a null key meets a null key.
 
-def join_small(
-    df: DataFrame,
-    small: DataFrame,
-    on: Sequence[str] | str,
-    how: str = "inner",
-    max_rows: int = MAX_BROADCAST_ROWS,
-) -> DataFrame:
-    """Broadcast ``small`` if it has at most ``max_rows`` rows, else shuffle.
-
-    The rows are counted by fetching one more than allowed, so the check itself
-    is bounded. A fetched table is not computed a second time.
+    For inner, left and semi or anti joins; the key columns of ``df`` stay.
     """
-    rows = small.limit(max_rows + 1).collect()
-    if len(rows) > max_rows:
-        return df.join(small, on, how)
-    fixed = df.sparkSession.createDataFrame(rows, small.schema)
-    return df.join(F.broadcast(fixed), on, how)
+    keys = [on] if isinstance(on, str) else list(on)
+    renamed = other.withColumnsRenamed({k: f"_other_{i}" for i, k in enumerate(keys)})
+    same = reduce(lambda a, b: a & b, [F.col(k).eqNullSafe(F.col(f"_other_{i}")) for i, k in enumerate(keys)])
+    return df.join(renamed, same, how).drop(*[f"_other_{i}" for i in range(len(keys))])

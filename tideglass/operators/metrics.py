@@ -7,7 +7,7 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tideglass.operators.joins import join_small
+from tideglass.operators.joins import null_safe_join
 
 CLIP = 1e-15
 
@@ -42,7 +42,7 @@ def with_class_weight(df: DataFrame, label: str, out: str = "weight") -> DataFra
     weights = class_weights(df, label).select(
         F.col("class").alias(label), F.col("weight").alias(out)
     )
-    return join_small(df, weights, label, "left")
+    return null_safe_join(df, weights, label, "left")
 
 
 def confusion_matrix(df: DataFrame, label: str, pred: str) -> DataFrame:
@@ -148,7 +148,7 @@ def ovr_curves(df: DataFrame, label: str, probs: str, classes: int, bins: int =
         return F.size(F.filter(array, lambda c: c < F.col("score")))
 
     binned = (
-        join_small(counts, splits, "class")
+        null_safe_join(counts, splits, "class")
         .withColumn("_bin", under("_coarse") * 16)
         .withColumn("_bin", F.col("_bin") + under(F.slice("_cuts", F.col("_bin") + 1, 16)))
         .drop("_cuts", "_coarse")
@@ -244,7 +244,7 @@ def best_model(scores: DataFrame, model: str = "model", score: str = "macro_f1")
     """The model of highest score; the first by name on ties."""
     top = scores.agg(F.max(score).alias("_top"))
     return (
-        join_small(scores.withColumn("_k", F.lit(0)), top.withColumn("_k", F.lit(0)), "_k")
+        null_safe_join(scores.withColumn("_k", F.lit(0)), top.withColumn("_k", F.lit(0)), "_k")
         .filter(F.col(score) == F.col("_top"))
         .agg(F.min(model).alias(model), F.max(score).alias(score))
     )

@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from tideglass.dimensions import RISK_CLASSES
 from tideglass.functions.hashing import below, row_hash
 from tideglass.functions.scalar import drop_columns, lookup
-from tideglass.operators.joins import join_small
+from tideglass.operators.joins import null_safe_join
 from tideglass.operators.scaling import exact_quantiles
 from tideglass.operators.sequences import drop_silent
 
@@ -46,7 +46,7 @@ def hash_cuts(df: DataFrame, label: str, quotas: DataFrame, seed, row_id: str) -
     )
     edges = (
         bins.withColumn("_sum", F.sum("_n").over(upto))
-        .join(quota, "_label")
+        .transform(lambda d: null_safe_join(d, quota, "_label"))
         .filter((F.col("_sum") > F.col("_quota")) & (F.col("_sum") - F.col("_n") <= F.col("_quota")))
         .select(
             "_label", "_bin", "which", (F.col("_quota") - F.col("_sum") + F.col("_n")).alias("_left")
@@ -54,7 +54,7 @@ def hash_cuts(df: DataFrame, label: str, quotas: DataFrame, seed, row_id: str) -
     )
     rank = Window.partitionBy("_label", "which").orderBy("_key")
     return (
-        join_small(hashed, edges, ["_label", "_bin"])
+        null_safe_join(hashed, edges, ["_label", "_bin"])
         .withColumn("_rn", F.row_number().over(rank))
         .filter(F.col("_rn") == F.col("_left") + 1)
         .select(F.col("_label").alias(label), "which", F.col("_key").alias("_cut"))
@@ -74,7 +74,7 @@ def mark_quotas(
     )
     key = F.struct(row_hash(seed, row_id).alias("h"), F.col(row_id).alias("id"))
     flags = {n: F.col(f"_cut_{n}").isNull() | (key < F.col(f"_cut_{n}")) for n in names}
-    out = join_small(df, cuts, label, "left").withColumns(flags)
+    out = null_safe_join(df, cuts, label, "left").withColumns(flags)
     return out.drop(*[f"_cut_{n}" for n in names])
 
 

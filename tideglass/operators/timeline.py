@@ -20,6 +20,8 @@ from collections.abc import Callable, Sequence
 from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
+from tideglass.operators.joins import null_safe_join
+
 DAY = 86_400
 CHUNK = 4_096
 SERIES = "_series"
@@ -61,7 +63,8 @@ def row_index(
 ) -> DataFrame:
     """Adds ``_pos``: 1, 2, 3 … in time order within each series.
 
-    ``tie`` orders rows of the same time. The time bucket bounds the rows one
+    Every row gets a number: rows without a key are one series, rows without a
+    time come first. ``tie`` orders rows of the same time. The time bucket bounds the rows one
     task sorts; choose it so that a bucket of one series fits a task.
     """
     keys = as_keys(key)
@@ -71,7 +74,7 @@ def row_index(
     inside = Window.partitionBy(*keys, BUCKET).orderBy(ts, *tie)
     return (
         parted.withColumn("_rn", F.row_number().over(inside))
-        .join(before, [*keys, BUCKET])
+        .transform(lambda d: null_safe_join(d, before, [*keys, BUCKET]))
         .withColumn(POS, F.col("_rn") + F.col("_before"))
         .drop("_rn", "_before", BUCKET)
     )

@@ -27,10 +27,13 @@ from tideglass.operators.timeline import (
 from tideglass.schemas import FLOW_MEANS
 
 
-def check_width(width: int) -> None:
-    """Epoch-aligned and midnight-aligned windows agree only for such widths."""
+def check_width(width: int, bucket_seconds: int = DAY) -> None:
+    """Epoch-aligned and midnight-aligned windows agree only for such widths,
+    and a time bucket must hold whole windows."""
     if width <= 0 or DAY % width:
         raise ValueError(f"window width {width} s does not divide a day")
+    if bucket_seconds % width:
+        raise ValueError(f"buckets of {bucket_seconds} s do not hold whole windows of {width} s")
 
 
 def window_start(ts: str, width: int) -> Column:

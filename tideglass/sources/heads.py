@@ -1,47 +1,40 @@
-"""First lines of many files without reading the files."""
+"""Lines of many text files, and the header line of each file.
 
-from __future__ import annotations
+Everything stays in Spark: a file's header is found by its place among the lines
+and joined to the file's other lines, so neither file names nor headers of
+single files pass through the driver, and a header may stand at any place.
+"""
 
-from collections.abc import Iterator
+from __future__ import annotations
 
-import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-HEAD_BYTES = 1 << 20
-
+FILE = "source_file"
 
-def head_lines(
-    spark: SparkSession, path: str, pattern: str, starts_with: str = "", min_bytes: int = 1
-) -> DataFrame:
-    """(file, line): the first line of each file that begins with ``starts_with``.
 
-    Files are listed with their size by the ``binaryFile`` source, whose content
-    column is not touched; a task then reads the first megabyte of its files at
-    most. Files without such a line are left out.
-    """
-    files = (
-        spark.read.format("binaryFile")
-        .option("pathGlobFilter", pattern)
-        .load(path)
-        .filter(F.col("length") >= min_bytes)
-        .select("path")
+def text_lines(spark: SparkSession, path: str, pattern: str, encoding: str | None = None) -> DataFrame:
+    """(source_file, file_bytes, block, line) of all files that match."""
+    lines = spark.read.option("pathGlobFilter", pattern).text(path)
+    line = F.decode(F.col("value").cast("binary"), encoding) if encoding else F.col("value")
+    return lines.select(
+        F.col("_metadata.file_path").alias(FILE),
+        F.col("_metadata.file_size").alias("file_bytes"),
+        F.col("_metadata.file_block_start").alias("block"),
+        line.alias("line"),
     )
 
-    def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        from pyarrow import fs
-
-        for batch in batches:
-            rows = []
-            for name in batch["path"]:
-                uri = name.replace("file:/", "file:///", 1) if not name.startswith("file://") else name
-                system, local = fs.FileSystem.from_uri(uri)
-                with system.open_input_stream(local) as stream:
-                    head = stream.read(HEAD_BYTES).decode("iso-8859-1")
-                for line in head.splitlines():
-                    if line.startswith(starts_with):
-                        rows.append((name, line))
-                        break
-            yield pd.DataFrame(rows, columns=["file", "line"])
-
-    return files.mapInPandas(read, "file string, line string")
+
+def first_lines(lines: DataFrame, wanted: Column | None = None) -> DataFrame:
+    """(source_file, header): the first line of each file for which ``wanted`` holds."""
+    # Within a block the id grows from line to line.
+    placed = lines.withColumn("_at", F.struct("block", F.monotonically_increasing_id().alias("n")))
+    if wanted is not None:
+        placed = placed.filter(wanted)
+    return placed.groupBy(FILE).agg(F.min_by("line", "_at").alias("header"))
+
+
+def files(spark: SparkSession, path: str, pattern: str) -> DataFrame:
+    """(source_file, file_bytes) of all files that match, empty ones too; nothing is read."""
+    listed = spark.read.format("binaryFile").option("pathGlobFilter", pattern).load(path)
+    return listed.select(F.col("path").alias(FILE), F.col("length").alias("file_bytes"))
