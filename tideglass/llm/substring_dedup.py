@@ -206,7 +206,8 @@ def with_repeats(docs: DataFrame, text_col: str = "text", window: int = WINDOW)
     marked = docs.select(F.col(text_col).alias("text"), key.alias("tkey"), mark.alias("mark")).where(F.octet_length("text") >= window)
     texts = kept_table(marked.groupBy("tkey").agg(F.min("mark").alias("mark"), F.count("*").alias("copies"), F.max(F.octet_length("text")).cast("long").alias("size")), "texts")
     anchors = kept_table(base.mapInArrow(_anchors(window), "tkey binary, p0 long, p1 long, anchor long").dropDuplicates(["tkey", "p0"]), "anchors")
-    often = anchors.groupBy("anchor").agg(F.count("*").alias("n")).where("n > 1")
+    # As a table, so that the join below can split the rows of one frequent anchor.
+    often = kept_table(anchors.groupBy("anchor").agg(F.count("*").alias("n")).where("n > 1"), "often")
     runs = anchors.join(often, "anchor").groupBy("tkey").agg(F.collect_list(F.struct("p0", "p1", "anchor", (F.col("n") > HOT_SEGMENTS).alias("hot"))).alias("runs"))
     wanted = runs.join(texts.select("tkey", "mark"), "tkey")
     segments = kept_table(marked.join(wanted, ["tkey", "mark"]).select("tkey", "text", "runs").mapInArrow(_segments(window), "tkey binary, p0 long, p1 long, anchor long, hot boolean, sid binary, segment binary"), "segments")
