@@ -42,7 +42,6 @@ def window_start(ts: str, width: int) -> Column:
 
 def fill_gaps(
     windows: DataFrame,
-    starts: DataFrame,
     key: str | Sequence[str] | None,
     ts: str,
     width: int,
@@ -53,44 +52,39 @@ def fill_gaps(
 
     Every window row is repeated up to the next window of its series, with 0 in
     ``values`` for the added rows; nothing but real windows is shuffled. The
-    next window of the last row in a time bucket comes from ``starts``: the
-    first window start per series and bucket.
+    next window of the last row in a time bucket is the first of a later bucket.
+    A gap is cut into buckets first, so no array is longer than the windows of a
+    bucket or the buckets of a gap.
     """
     keys = as_keys(key)
     series = keys or [SERIES]
     parted = windows.withColumn(BUCKET, bucket(ts, bucket_seconds))
     if not keys:
-        parted, starts = parted.withColumn(SERIES, F.lit(0)), starts.withColumn(SERIES, F.lit(0))
-    following = Window.partitionBy(*series).orderBy(BUCKET)
-    carry = starts.withColumn("_later", F.lead("_first").over(following)).drop("_first")
-    inside = Window.partitionBy(*series, BUCKET).orderBy(ts)
+        parted = parted.withColumn(SERIES, F.lit(0))
+    inside = Window.partitionBy(*series, BUCKET)
+    # The last rows of all buckets of a series form one chain; the other rows stay
+    # with their bucket. So the flows are read and aggregated once.
+    chain = Window.partitionBy(*series, "_chain").orderBy(BUCKET)
     step = F.expr(f"INTERVAL {width} SECONDS")
     last = F.coalesce(F.col("_next") - step, F.col(ts))
     filled = (
-        parted.withColumn("_lead", F.lead(ts).over(inside))
-        .join(carry, [*series, BUCKET])
+        parted.withColumns({"_lead": F.lead(ts).over(inside.orderBy(ts)), "_first": F.min(ts).over(inside)})
+        .withColumn("_chain", F.when(F.col("_lead").isNotNull(), F.col(BUCKET)))
+        .withColumn("_later", F.lead("_first").over(chain))
         .withColumn("_next", F.coalesce("_lead", "_later"))
-        .withColumn("_slot", F.explode(F.sequence(F.col(ts), last, step)))
+        .withColumn("_last", last)
+        .withColumn("_in", F.explode(F.sequence(F.col(BUCKET), bucket("_last", bucket_seconds))))
+        .withColumn("_from", F.greatest(F.col(ts), F.timestamp_seconds(F.col("_in") * bucket_seconds)))
+        .withColumn("_to", F.least(F.col("_last"), F.timestamp_seconds((F.col("_in") + 1) * bucket_seconds - width)))
+        .withColumn("_slot", F.explode(F.sequence("_from", "_to", step)))
+        .drop("_last", "_in", "_from", "_to")
     )
     real = F.col("_slot") == F.col(ts)
     added = {c: F.when(real, F.coalesce(F.col(c), F.lit(0))).otherwise(F.lit(0)) for c in values}
     return (
         filled.withColumns(added)
         .withColumn(ts, F.col("_slot"))
-        .drop("_slot", "_lead", "_later", "_next", BUCKET, SERIES)
-    )
-
-
-def bucket_starts(
-    flows: DataFrame, key: str | Sequence[str] | None, ts: str, width: int, bucket_seconds: int = DAY
-) -> DataFrame:
-    """First window start per series and time bucket, from two columns only."""
-    start = window_start("_first_ts", width)
-    return (
-        flows.groupBy(*as_keys(key), bucket(ts, bucket_seconds).alias(BUCKET))
-        .agg(F.min(ts).alias("_first_ts"))
-        .withColumn("_first", start)
-        .drop("_first_ts")
+        .drop("_slot", "_lead", "_later", "_next", "_first", "_chain", BUCKET, SERIES)
     )
 
 
@@ -116,7 +110,7 @@ def window_features(
     and the distinct count is spread over (source, window, port), so one busy
     source does not end up in one task.
     """
-    check_width(width)
+    check_width(width, bucket_seconds)
     keys = as_keys(key)
     have = set(flows.columns)
     means = [m for m in means if m in have]
@@ -133,8 +127,7 @@ def window_features(
         .select(*keys, F.col("_w.start").alias(ts), *values)
     )
     if gap_fill:
-        starts = bucket_starts(flows, keys, ts, width, bucket_seconds)
-        windows = fill_gaps(windows, starts, keys, ts, width, values, bucket_seconds)
+        windows = fill_gaps(windows, keys, ts, width, values, bucket_seconds)
     if {"orig_bytes", "resp_bytes"} <= set(values):
         windows = windows.withColumn("bidirectional_flow_ratio", byte_ratio())
     return windows
@@ -157,7 +150,7 @@ def net_window_features(
     bucket_seconds: int = DAY,
 ) -> DataFrame:
     """Network-wide windows of one capture (``by`` names the capture)."""
-    check_width(width)
+    check_width(width, bucket_seconds)
     keys = as_keys(by)
 
     def col(c):
@@ -191,8 +184,7 @@ def net_window_features(
         .select(*keys, F.col("_w.start").alias(ts), *aggs)
     )
     if gap_fill:
-        starts = bucket_starts(flows, keys, ts, width, bucket_seconds)
-        windows = fill_gaps(windows, starts, keys, ts, width, list(aggs), bucket_seconds)
+        windows = fill_gaps(windows, keys, ts, width, list(aggs), bucket_seconds)
     return windows
 
 
