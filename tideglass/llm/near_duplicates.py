@@ -28,6 +28,10 @@ HALVES = 16
 ROWS = 2
 #: In buckets of so many rows at most, all pairs across components are compared.
 SMALL_BUCKET = 24
+#: Rows of each bucket that the first round compares all others with.
+HEADS = 3
+#: Rows of a bucket's largest component that later rounds compare the rest with.
+MEMBERS = 4
 _SEEDS = mixed(np.arange(1, HALVES * ROWS + 1, dtype=np.uint64) * np.uint64(0xD1342543DE82EF95))
 _FACTORS = mixed(_SEEDS) | np.uint64(1)
 
@@ -98,15 +102,33 @@ def _confirm(percent: int):
     return run
 
 
-def _stars(rows: DataFrame, step: int) -> DataFrame:
-    """Pairs ``a, b`` of a drawn row of each bucket with all rows of other components in it.
+def _pair(one: str, two: str):
+    return F.least(one, two).alias("a"), F.greatest(one, two).alias("b")
 
-    The first draw goes by a hash of the row alone, so buckets of one group draw the same row and make equal pairs.
+
+def _first_pairs(rows: DataFrame) -> DataFrame:
+    """Pairs ``a, b`` of ``HEADS`` drawn rows of each bucket with all others in it.
+
+    They are drawn by hashes of the row alone, so buckets of one group draw the same rows and make equal pairs.
     """
-    drawn = F.struct((F.xxhash64("id") if step == 1 else F.xxhash64("bucket", "id", F.lit(step))).alias("h"), "id", "comp")
-    heads = rows.groupBy("bucket").agg(F.min(drawn).alias("head"), F.min("comp").alias("c0"), F.max("comp").alias("c1")).where("c0 <> c1")
-    met = rows.join(heads, "bucket").select("id", "comp", "head")
-    return met.where(F.col("comp") != F.col("head.comp")).select(F.least("id", "head.id").alias("a"), F.greatest("id", "head.id").alias("b")).distinct()
+    drawn = [F.min(F.struct(F.xxhash64("id", F.lit(k)).alias("h"), "id"))["id"].alias(f"head{k}") for k in range(HEADS)]
+    heads = kept_table(rows.groupBy("bucket").agg(*drawn), "heads")
+    met = rows.join(heads, "bucket").select("id", F.explode(F.array(*[f"head{k}" for k in range(HEADS)])).alias("head"))
+    return met.where("id <> head").select(*_pair("id", "head")).distinct()
+
+
+def _more_pairs(rows: DataFrame, step: int) -> DataFrame:
+    """Pairs across components: of buckets with several, all rows outside the largest one with ``MEMBERS`` drawn rows
+    of that, and with one drawn row outside it."""
+    drawn = [F.min(F.struct(F.xxhash64("bucket", "id", F.lit(step), F.lit(k)).alias("h"), "id"))["id"].alias(f"m{k}") for k in range(MEMBERS)]
+    kinds = rows.groupBy("bucket", "comp").agg(F.count("*").alias("n"), *drawn)
+    whole = F.struct("comp", F.array(*[f"m{k}" for k in range(MEMBERS)]).alias("heads"))
+    large = kinds.groupBy("bucket").agg(F.max_by(whole, F.struct("n", "comp")).alias("large"), F.count("*").alias("kinds")).where("kinds > 1")
+    rest = kept_table(rows.join(kept_table(large, "large"), "bucket").where("comp <> large.comp").select("bucket", "id", "comp", "large.heads"), "rest")
+    out = rest.select("id", F.explode("heads").alias("head")).select(*_pair("id", "head"))
+    lead = rest.groupBy("bucket").agg(F.min(F.struct(F.xxhash64("bucket", "id", F.lit(step)).alias("h"), "id", "comp")).alias("lead"))
+    among = rest.join(lead, "bucket").where("comp <> lead.comp").select(*_pair("id", "lead.id"))
+    return out.unionByName(among).distinct()
 
 
 def _small_pairs(rows: DataFrame) -> DataFrame:
@@ -131,23 +153,26 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     )
     half = F.expr(f"transform(sequence(0, {HALVES - 1}), i -> xxhash64(i, substring(marks, i * {4 * ROWS} + 1, {4 * ROWS})))")
     halves = classes.select("set_key", F.explode(half).alias("half"))
-    shared = halves.groupBy("half").agg(F.count("*").alias("n")).where("n > 1").select("half")
+    shared = kept_table(halves.groupBy("half").agg(F.count("*").alias("n")).where("n > 1").select("half"), "halves")
     mine = halves.join(shared, "half", "left_semi").groupBy("set_key").agg(F.sort_array(F.collect_list("half")).alias("h")).where("size(h) > 1")
     tables = F.expr("flatten(transform(sequence(1, size(h) - 1), i -> transform(slice(h, i + 1, size(h) - i), x -> xxhash64(h[i - 1], x))))")
     keyed = mine.select(F.col("set_key").alias("id"), F.explode(tables).alias("bucket"))
     buckets = kept_table(keyed, "buckets")
-    several = buckets.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1").select("bucket")
+    several = kept_table(buckets.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1").select("bucket"), "several")
     buckets = kept_table(buckets.join(several, "bucket", "left_semi"), "shared")
     side = classes.select("set_key", "n", "marks")
     agree = F.expr(f"size(filter(sequence(0, {HALVES * ROWS - 1}), i -> substring(p, i * 4 + 1, 4) = substring(q, i * 4 + 1, 4)))")
-    tested, links, roots, sets = None, None, None, None
+    tested, roots, sets = None, None, None
     step = 0
     while True:
         step += 1
-        rows = buckets.withColumn("comp", F.col("id")) if roots is None else buckets.join(roots, "id", "left").select("bucket", "id", F.coalesce("root", "id").alias("comp"))
-        pairs = _stars(rows, step)
-        if step == 2:
-            pairs = pairs.unionByName(_small_pairs(rows)).distinct()
+        if roots is None:
+            pairs = _first_pairs(buckets)
+        else:
+            rows = kept_table(buckets.join(roots, "id", "left").select("bucket", "id", F.coalesce("root", "id").alias("comp")), "rows")
+            pairs = _more_pairs(rows, step)
+            if step == 2:
+                pairs = pairs.unionByName(_small_pairs(rows)).distinct()
         if tested is not None:
             pairs = pairs.join(tested, ["a", "b"], "left_anti")
         pairs = kept_table(pairs, f"pairs{step}")
@@ -169,8 +194,13 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         if none and step > 1:
             break
         tested = pairs if tested is None else tested.unionByName(pairs)
-        links = new if links is None else links.unionByName(new)
-        roots = components(links)
+        # Links between what is one component already add nothing; the rest is a small graph.
+        if roots is None:
+            roots = components(new)
+        else:
+            merged = components(new.join(roots.toDF("a", "root_a"), "a", "left").join(roots.toDF("b", "root_b"), "b", "left").select(F.coalesce("root_a", "a").alias("a"), F.coalesce("root_b", "b").alias("b")))
+            old = roots.join(merged.toDF("root", "up"), "root", "left").select("id", F.coalesce("up", "root").alias("root"))
+            roots = kept_table(old.unionByName(merged.join(roots.select("id"), "id", "left_anti").select("id", "root")), f"roots{step}")
     named = classes.join(roots.withColumnRenamed("id", "set_key"), "set_key", "left").withColumn("root", F.coalesce("root", "set_key"))
     least = named.groupBy("root").agg(F.min("least").alias("component_id"))
     found = named.join(least, "root").select("set_key", "component_id")
