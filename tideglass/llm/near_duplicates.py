@@ -8,7 +8,7 @@ a chance of 4e-5, far less above.
 Equal sets are one class from the start. Half keys that one class alone has make no table keys. In a table, members of
 a bucket are compared with a member drawn by hash, not with each other; classes that link are joined, and buckets that
 still hold several components are compared again with other members, all pairs across components where the bucket is
-small, until no link comes anymore. Every link is confirmed on the full sets.
+small, until no link comes anymore or ``ROUNDS`` are over. Every link is confirmed on the full sets.
 """
 
 from __future__ import annotations
@@ -29,9 +29,10 @@ ROWS = 2
 #: In buckets of so many rows at most, all pairs across components are compared.
 SMALL_BUCKET = 24
 #: Rows of each bucket that the first round compares all others with.
-HEADS = 3
-#: Rows of a bucket's largest component that later rounds compare the rest with.
-MEMBERS = 4
+HEADS = 2
+#: Rows of a bucket's largest component that each later round compares the rest with; a row is in dozens of buckets.
+MEMBERS = 1#: Rounds of comparisons at most. They end earlier, as a rule, when one brings no link.
+ROUNDS = 6
 _SEEDS = mixed(np.arange(1, HALVES * ROWS + 1, dtype=np.uint64) * np.uint64(0xD1342543DE82EF95))
 _FACTORS = mixed(_SEEDS) | np.uint64(1)
 
@@ -120,13 +121,13 @@ def _first_pairs(rows: DataFrame) -> DataFrame:
 def _more_pairs(rows: DataFrame, step: int) -> DataFrame:
     """Pairs across components: of buckets with several, all rows outside the largest one with ``MEMBERS`` drawn rows
     of that, and with one drawn row outside it."""
-    drawn = [F.min(F.struct(F.xxhash64("bucket", "id", F.lit(step), F.lit(k)).alias("h"), "id"))["id"].alias(f"m{k}") for k in range(MEMBERS)]
+    drawn = [F.min(F.struct(F.xxhash64("id", F.lit(step), F.lit(k)).alias("h"), "id"))["id"].alias(f"m{k}") for k in range(MEMBERS)]
     kinds = rows.groupBy("bucket", "comp").agg(F.count("*").alias("n"), *drawn)
     whole = F.struct("comp", F.array(*[f"m{k}" for k in range(MEMBERS)]).alias("heads"))
     large = kinds.groupBy("bucket").agg(F.max_by(whole, F.struct("n", "comp")).alias("large"), F.count("*").alias("kinds")).where("kinds > 1")
     rest = kept_table(rows.join(kept_table(large, "large"), "bucket").where("comp <> large.comp").select("bucket", "id", "comp", "large.heads"), "rest")
-    out = rest.select("id", F.explode("heads").alias("head")).select(*_pair("id", "head"))
-    lead = rest.groupBy("bucket").agg(F.min(F.struct(F.xxhash64("bucket", "id", F.lit(step)).alias("h"), "id", "comp")).alias("lead"))
+    out = rest.select("id", F.explode("heads").alias("head")).select(*_pair("id", "head")) if MEMBERS > 1 else rest.select("id", F.col("heads")[0].alias("head")).select(*_pair("id", "head"))
+    lead = rest.groupBy("bucket").agg(F.min(F.struct(F.xxhash64("id", F.lit(-step)).alias("h"), "id", "comp")).alias("lead"))
     among = rest.join(lead, "bucket").where("comp <> lead.comp").select(*_pair("id", "lead.id"))
     return out.unionByName(among).distinct()
 
@@ -164,7 +165,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     agree = F.expr(f"size(filter(sequence(0, {HALVES * ROWS - 1}), i -> substring(p, i * 4 + 1, 4) = substring(q, i * 4 + 1, 4)))")
     tested, roots, sets = None, None, None
     step = 0
-    while True:
+    while step < ROUNDS:
         step += 1
         if roots is None:
             pairs = _first_pairs(buckets)
@@ -179,7 +180,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         sized = pairs.join(side.toDF("a", "n", "p"), "a").join(side.toDF("b", "m", "q"), "b")
         # Sets at the threshold agree in 24 of 32 MinHashes on average, and in fewer than 11 with a chance of 1e-7.
         near = kept_table(sized.where((100 * F.least("n", "m") >= percent * F.greatest("n", "m")) & (agree >= 11)).select("a", "b"), f"near{step}")
-        wanted = near.select(F.explode(F.array("a", "b")).alias("set_key")).distinct()
+        wanted = near.select(F.col("a").alias("set_key")).union(near.select("b")).distinct()
         if sets is not None:
             wanted = wanted.join(sets.select("set_key"), "set_key", "left_anti")
         of = wanted.join(classes, "set_key").select(F.col("least").alias("doc_id"), "set_key")
@@ -192,7 +193,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         new = kept_table(full.mapInArrow(_confirm(percent), "a binary, b binary"), f"confirmed{step}")
         none = new.isEmpty()
         if none and step > 1:
-            break
+            break  # nothing that the buckets still offer links
         tested = pairs if tested is None else tested.unionByName(pairs)
         # Links between what is one component already add nothing; the rest is a small graph.
         if roots is None:
