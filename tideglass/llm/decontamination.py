@@ -74,7 +74,7 @@ def _passages(bits: np.ndarray, reach: int):
             out: list[tuple] = []
             # Hits of a text that lie close together make one passage.
             cuts = np.flatnonzero(np.concatenate(([True], (docs[1:] != docs[:-1]) | (hits[1:] - hits[:-1] > 2 * reach)))) if len(hits) else []
-            for a, b in zip(cuts, [*cuts[1:], len(hits)], strict=True):
+            for a, b in zip(cuts, [*cuts[1:], len(hits)][: len(cuts)], strict=True):
                 d = int(docs[a])
                 w0, w1 = words.first[d], words.first[d + 1]
                 lo = max(w0, w0 + hits[a] - first[d] - reach)
