@@ -591,3 +591,21 @@ filled AS (
   FROM spine s LEFT JOIN closed w USING (src_ip, ts))""", "," + sliding("filled"))
 ORACLES["stream_stage_alerts"] = with_(CLOSED + ",\n" + ALERTS[len(WIN) + 1:].replace("FROM win)", "FROM closed)"),
     f"SELECT src_ip, {TS}, stage, severity FROM alerts")
+
+
+# --- sources and sinks: what was written is what is read ----------------------------
+
+ORACLES["flow_log_source"] = with_(FLOWS, f"""
+SELECT CAST(uid AS VARCHAR) AS uid, src_ip, {TS}, round(coalesce(orig_bytes, 0), 6) AS orig_bytes,
+       round(coalesce(k, 0), 6) AS resp_bytes, label AS service FROM flows""")
+ORACLES["labelled_flow_source"] = with_(FLOWS, f"""
+SELECT src_ip, {TS}, CASE WHEN label = 'error' THEN 'DDoS' ELSE 'BENIGN' END AS label,
+       CASE WHEN label = 'error' THEN 4 ELSE 0 END AS stage FROM flows""")
+for _name, _same in {
+    "window_table_sink": "win_features_dense_only",
+    "window_csv_source": "win_features_dense_only",
+    "sequence_table": "sequences_stride6",
+    "scaler_saved": "robust_scaler_fit",
+    "report_saved": "class_distribution",
+}.items():
+    ORACLES[_name] = ORACLES[_same]

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import SparkSession
@@ -31,12 +30,10 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     """A fresh path for intermediate tables and stream checkpoints.
 
     The folder is the one the cluster names in ``spark.checkpoint.dir``, so that
-    every executor sees it. Only a local-mode session may fall back to a
-    temporary folder of this machine.
+    every executor sees it; without that setting it lies below the warehouse,
+    which all executors share too.
     """
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
-        if not spark.sparkContext.master.startswith("local"):
-            raise RuntimeError("set spark.checkpoint.dir to a folder all executors share")
-        root = tempfile.mkdtemp(prefix="tideglass-")
+        root = f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/tideglass-scratch"
     return f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex[:12]}"
