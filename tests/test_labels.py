@@ -6,7 +6,6 @@ import pytest
 from tideglass.dimensions import (
     ATTACKER_STAGES_2018,
     RISK_HORIZONS,
-    SAMPLE_ATTACK_INTERVALS,
     flow_label_stages,
     intervals,
 )
@@ -14,6 +13,10 @@ from tideglass.operators import labels
 from tideglass.operators.timeline import event_horizon
 
 DAY = datetime(2017, 7, 5)
+ATTACKS = [
+    (datetime(2017, 7, 5, 11, 10, 0), datetime(2017, 7, 5, 11, 19, 0)),
+    (datetime(2017, 7, 5, 2, 24, 0), datetime(2017, 7, 5, 10, 11, 0)),
+]
 
 
 def test_interval_limits(spark):
@@ -26,7 +29,7 @@ def test_interval_limits(spark):
     rows = [(datetime.strptime(f"2017-07-05 {t}", "%Y-%m-%d %H:%M:%S"), want) for t, want in cases.items()]
     df = spark.createDataFrame(rows, "ts timestamp, want string")
     for bucket in (600, 3_600, 86_400):
-        out = labels.label_by_intervals(df, intervals(spark, SAMPLE_ATTACK_INTERVALS), bucket_seconds=bucket)
+        out = labels.label_by_intervals(df, intervals(spark, ATTACKS), bucket_seconds=bucket)
         assert [r for r in out.collect() if r.label != r.want] == []
         assert out.count() == len(rows)
 

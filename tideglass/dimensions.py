@@ -77,12 +77,6 @@ ATTACKER_STAGES_2018 = {
 }
 ATTACKER_STAGES_CTU13 = {"147.32.84.165": 4}
 
-# Attack intervals of the sample capture day.
-SAMPLE_ATTACK_INTERVALS = [
-    (datetime(2017, 7, 5, 11, 10, 0), datetime(2017, 7, 5, 11, 19, 0)),
-    (datetime(2017, 7, 5, 2, 24, 0), datetime(2017, 7, 5, 10, 11, 0)),
-]
-
 # --- as tables ---------------------------------------------------------------------
 
 

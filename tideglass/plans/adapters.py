@@ -129,9 +129,14 @@ def vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def scored_vectors(spark: SparkSession, sf_dir: str, classes: int = 10) -> DataFrame:
-    """The first dimensions as logits of as many classes."""
+    """Sums of all dimensions, dealt out in turn, as logits of the classes."""
     emb = table(spark, sf_dir, "embeddings")
-    logits = F.transform(F.slice("embedding", 1, classes), lambda v: v.cast("double") * 10)
+
+    def logit(c):
+        own = F.filter("embedding", lambda v, i: i % classes == c)
+        return F.aggregate(own, F.lit(0.0), lambda total, v: total + v.cast("double")) * 10
+
+    logits = F.transform(F.sequence(F.lit(0), F.lit(classes - 1)), logit)
     return emb.select("vec_id", "label", logits.alias("logits")).withColumn("probs", softmax("logits"))
 
 

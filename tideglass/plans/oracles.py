@@ -107,8 +107,8 @@ emb AS (
 def softmax(classes: int) -> str:
     return EMB + f""",
 powers AS (
-  SELECT vec_id, label, i, exp(v * 10 - max(v * 10) OVER (PARTITION BY vec_id)) AS e
-  FROM emb WHERE i < {classes}),
+  SELECT vec_id, label, i, exp(l - max(l) OVER (PARTITION BY vec_id)) AS e
+  FROM (SELECT vec_id, label, i % {classes} AS i, sum(v ORDER BY i) * 10 AS l FROM emb GROUP BY vec_id, label, i % {classes})),
 probs AS (SELECT vec_id, label, i, e / sum(e) OVER (PARTITION BY vec_id) AS p FROM powers)"""
 
 
