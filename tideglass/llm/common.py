@@ -7,7 +7,7 @@ from collections.abc import Iterator
 
 import pyarrow as pa
 import pyarrow.compute  # noqa: F401
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tideglass.session import scratch_path
@@ -16,14 +16,23 @@ from tideglass.session import scratch_path
 BLOCK_BYTES = 4_000_000
 
 
-def kept_table(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` to the shared folder and read it back; cuts the lineage."""
+def kept_table(df: DataFrame, name: str, bag: list[str] | None = None) -> DataFrame:
+    """Write ``df`` to the shared folder and read it back; cuts the lineage. ``bag`` takes the path for :func:`discard`."""
     spark = df.sparkSession
     path = scratch_path(spark, name)
     df.write.parquet(path)
+    if bag is not None:
+        bag.append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def discard(spark: SparkSession, bag: list[str]) -> None:
+    """Delete tables that nothing reads anymore."""
+    while bag:
+        path = spark._jvm.org.apache.hadoop.fs.Path(bag.pop())
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def held_out(doc_id: Column) -> Column:
     """True where crc32 of the id as text leaves 2 when divided by 4; a null id is not held out."""
     return F.coalesce(F.pmod(F.crc32(doc_id.cast("string")), F.lit(4)) == 2, F.lit(False))

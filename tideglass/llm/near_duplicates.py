@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tideglass.llm.common import kept_table, maybe_in, text_blocks
+from tideglass.llm.common import discard, kept_table, maybe_in, text_blocks
 from tideglass.llm.components import components
 from tideglass.llm.words import mixed, shingles, split_words
 
@@ -107,25 +107,25 @@ def _pair(one: str, two: str):
     return F.least(one, two).alias("a"), F.greatest(one, two).alias("b")
 
 
-def _first_pairs(rows: DataFrame) -> DataFrame:
+def _first_pairs(rows: DataFrame, bag: list[str]) -> DataFrame:
     """Pairs ``a, b`` of ``HEADS`` drawn rows of each bucket with all others in it.
 
     They are drawn by hashes of the row alone, so buckets of one group draw the same rows and make equal pairs.
     """
     drawn = [F.min(F.struct(F.xxhash64("id", F.lit(k)).alias("h"), "id"))["id"].alias(f"head{k}") for k in range(HEADS)]
-    heads = kept_table(rows.groupBy("bucket").agg(*drawn), "heads")
+    heads = kept_table(rows.groupBy("bucket").agg(*drawn), "heads", bag)
     met = rows.join(heads, "bucket").select("id", F.explode(F.array(*[f"head{k}" for k in range(HEADS)])).alias("head"))
     return met.where("id <> head").select(*_pair("id", "head")).distinct()
 
 
-def _more_pairs(rows: DataFrame, step: int) -> DataFrame:
+def _more_pairs(rows: DataFrame, step: int, bag: list[str]) -> DataFrame:
     """Pairs across components: of buckets with several, all rows outside the largest one with ``MEMBERS`` drawn rows
     of that, and with one drawn row outside it."""
     drawn = [F.min(F.struct(F.xxhash64("id", F.lit(step), F.lit(k)).alias("h"), "id"))["id"].alias(f"m{k}") for k in range(MEMBERS)]
     kinds = rows.groupBy("bucket", "comp").agg(F.count("*").alias("n"), *drawn)
     whole = F.struct("comp", F.array(*[f"m{k}" for k in range(MEMBERS)]).alias("heads"))
     large = kinds.groupBy("bucket").agg(F.max_by(whole, F.struct("n", "comp")).alias("large"), F.count("*").alias("kinds")).where("kinds > 1")
-    rest = kept_table(rows.join(kept_table(large, "large"), "bucket").where("comp <> large.comp").select("bucket", "id", "comp", "large.heads"), "rest")
+    rest = kept_table(rows.join(kept_table(large, "large", bag), "bucket").where("comp <> large.comp").select("bucket", "id", "comp", "large.heads"), "rest", bag)
     out = rest.select("id", F.explode("heads").alias("head")).select(*_pair("id", "head")) if MEMBERS > 1 else rest.select("id", F.col("heads")[0].alias("head")).select(*_pair("id", "head"))
     lead = rest.groupBy("bucket").agg(F.min(F.struct(F.xxhash64("id", F.lit(-step)).alias("h"), "id", "comp")).alias("lead"))
     among = rest.join(lead, "bucket").where("comp <> lead.comp").select(*_pair("id", "lead.id"))
@@ -148,19 +148,20 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     gets the least id that is not null of its component. Other columns are ignored. An empty table gives an empty one.
     """
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
+    bag: list[str] = []
     prints = kept_table(docs.mapInArrow(_prints(size), "doc_id long, n_shingles long, set_key binary, marks binary"), "prints")
     classes = kept_table(
         prints.where("set_key is not null").groupBy("set_key").agg(F.min("doc_id").alias("least"), F.max("n_shingles").alias("n"), F.min("marks").alias("marks")), "classes"
     )
     half = F.expr(f"transform(sequence(0, {HALVES - 1}), i -> xxhash64(i, substring(marks, i * {4 * ROWS} + 1, {4 * ROWS})))")
     halves = classes.select("set_key", F.explode(half).alias("half"))
-    shared = kept_table(halves.groupBy("half").agg(F.count("*").alias("n")).where("n > 1").select("half"), "halves")
+    shared = kept_table(halves.groupBy("half").agg(F.count("*").alias("n")).where("n > 1").select("half"), "halves", bag)
     mine = halves.join(shared, "half", "left_semi").groupBy("set_key").agg(F.sort_array(F.collect_list("half")).alias("h")).where("size(h) > 1")
     tables = F.expr("flatten(transform(sequence(1, size(h) - 1), i -> transform(slice(h, i + 1, size(h) - i), x -> xxhash64(h[i - 1], x))))")
     keyed = mine.select(F.col("set_key").alias("id"), F.explode(tables).alias("bucket"))
-    buckets = kept_table(keyed, "buckets")
-    several = kept_table(buckets.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1").select("bucket"), "several")
-    buckets = kept_table(buckets.join(several, "bucket", "left_semi"), "shared")
+    buckets = kept_table(keyed, "buckets", bag)
+    several = kept_table(buckets.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1").select("bucket"), "several", bag)
+    buckets = kept_table(buckets.join(several, "bucket", "left_semi"), "shared", bag)
     side = classes.select("set_key", "n", "marks")
     agree = F.expr(f"size(filter(sequence(0, {HALVES * ROWS - 1}), i -> substring(p, i * 4 + 1, 4) = substring(q, i * 4 + 1, 4)))")
     tested, roots, sets = None, None, None
@@ -168,18 +169,18 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     while step < ROUNDS:
         step += 1
         if roots is None:
-            pairs = _first_pairs(buckets)
+            pairs = _first_pairs(buckets, bag)
         else:
-            rows = kept_table(buckets.join(roots, "id", "left").select("bucket", "id", F.coalesce("root", "id").alias("comp")), "rows")
-            pairs = _more_pairs(rows, step)
+            rows = kept_table(buckets.join(roots, "id", "left").select("bucket", "id", F.coalesce("root", "id").alias("comp")), "rows", bag)
+            pairs = _more_pairs(rows, step, bag)
             if step == 2:
                 pairs = pairs.unionByName(_small_pairs(rows)).distinct()
         if tested is not None:
             pairs = pairs.join(tested, ["a", "b"], "left_anti")
-        pairs = kept_table(pairs, f"pairs{step}")
+        pairs = kept_table(pairs, f"pairs{step}", bag)
         sized = pairs.join(side.toDF("a", "n", "p"), "a").join(side.toDF("b", "m", "q"), "b")
         # Sets at the threshold agree in 24 of 32 MinHashes on average, and in fewer than 11 with a chance of 1e-7.
-        near = kept_table(sized.where((100 * F.least("n", "m") >= percent * F.greatest("n", "m")) & (agree >= 11)).select("a", "b"), f"near{step}")
+        near = kept_table(sized.where((100 * F.least("n", "m") >= percent * F.greatest("n", "m")) & (agree >= 11)).select("a", "b"), f"near{step}", bag)
         wanted = near.select(F.col("a").alias("set_key")).union(near.select("b")).distinct()
         if sets is not None:
             wanted = wanted.join(sets.select("set_key"), "set_key", "left_anti")
@@ -187,10 +188,10 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         texts = maybe_in(docs, F.col("doc_id"), of, "doc_id").join(of.withColumnRenamed("doc_id", "least"), F.col("doc_id").eqNullSafe(F.col("least"))).select("set_key", "text")
         more = texts.mapInArrow(_sets(size), "set_key binary, members binary").where("members is not null").dropDuplicates(["set_key"])
         if sets is None or not near.isEmpty():
-            more = kept_table(more, f"sets{step}")
+            more = kept_table(more, f"sets{step}", bag)
             sets = more if sets is None else sets.unionByName(more)
         full = near.join(sets.toDF("a", "x"), "a").join(sets.toDF("b", "y"), "b")
-        new = kept_table(full.mapInArrow(_confirm(percent), "a binary, b binary"), f"confirmed{step}")
+        new = kept_table(full.mapInArrow(_confirm(percent), "a binary, b binary"), f"confirmed{step}", bag)
         none = new.isEmpty()
         if none and step > 1:
             break  # nothing that the buckets still offer links
@@ -202,6 +203,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
             merged = components(new.join(roots.toDF("a", "root_a"), "a", "left").join(roots.toDF("b", "root_b"), "b", "left").select(F.coalesce("root_a", "a").alias("a"), F.coalesce("root_b", "b").alias("b")))
             old = roots.join(merged.toDF("root", "up"), "root", "left").select("id", F.coalesce("up", "root").alias("root"))
             roots = kept_table(old.unionByName(merged.join(roots.select("id"), "id", "left_anti").select("id", "root")), f"roots{step}")
+    discard(docs.sparkSession, bag)
     named = classes.join(roots.withColumnRenamed("id", "set_key"), "set_key", "left").withColumn("root", F.coalesce("root", "set_key"))
     least = named.groupBy("root").agg(F.min("least").alias("component_id"))
     found = named.join(least, "root").select("set_key", "component_id")

@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tideglass.llm.common import kept_table, text_blocks
+from tideglass.llm.common import discard, kept_table, text_blocks
 from tideglass.llm.suffix_sort import suffix_array
 from tideglass.llm.words import mixed, text_bytes
 
@@ -204,13 +204,16 @@ def with_repeats(docs: DataFrame, text_col: str = "text", window: int = WINDOW)
     # text's own columns picks one row, and rows that are equal in all columns are taken together.
     mark = F.xxhash64(*[F.col(c).cast("string") for c in docs.columns if c != text_col]) if len(docs.columns) > 1 else F.lit(0).cast("long")
     marked = docs.select(F.col(text_col).alias("text"), key.alias("tkey"), mark.alias("mark")).where(F.octet_length("text") >= window)
-    texts = kept_table(marked.groupBy("tkey").agg(F.min("mark").alias("mark"), F.count("*").alias("copies"), F.max(F.octet_length("text")).cast("long").alias("size")), "texts")
-    anchors = kept_table(base.mapInArrow(_anchors(window), "tkey binary, p0 long, p1 long, anchor long").dropDuplicates(["tkey", "p0"]), "anchors")
+    bag: list[str] = []
+    early: list[str] = []
+    texts = kept_table(marked.groupBy("tkey").agg(F.min("mark").alias("mark"), F.count("*").alias("copies"), F.max(F.octet_length("text")).cast("long").alias("size")), "texts", bag)
+    anchors = kept_table(base.mapInArrow(_anchors(window), "tkey binary, p0 long, p1 long, anchor long").dropDuplicates(["tkey", "p0"]), "anchors", early)
     # As a table, so that the join below can split the rows of one frequent anchor.
-    often = kept_table(anchors.groupBy("anchor").agg(F.count("*").alias("n")).where("n > 1"), "often")
+    often = kept_table(anchors.groupBy("anchor").agg(F.count("*").alias("n")).where("n > 1"), "often", early)
     runs = anchors.join(often, "anchor").groupBy("tkey").agg(F.collect_list(F.struct("p0", "p1", "anchor", (F.col("n") > HOT_SEGMENTS).alias("hot"))).alias("runs"))
     wanted = runs.join(texts.select("tkey", "mark"), "tkey")
-    segments = kept_table(marked.join(wanted, ["tkey", "mark"]).select("tkey", "text", "runs").mapInArrow(_segments(window), "tkey binary, p0 long, p1 long, anchor long, hot boolean, sid binary, segment binary"), "segments")
+    segments = kept_table(marked.join(wanted, ["tkey", "mark"]).select("tkey", "text", "runs").mapInArrow(_segments(window), "tkey binary, p0 long, p1 long, anchor long, hot boolean, sid binary, segment binary"), "segments", bag)
+    discard(docs.sparkSession, early)
     counts = segments.groupBy("sid").agg(F.count("*").alias("n"))
     # Other segments of a window that lies in two equal ones need one of these only.
     different = segments.dropDuplicates(["sid"]).select("anchor", "hot", "sid", "segment")
@@ -218,7 +221,7 @@ def with_repeats(docs: DataFrame, text_col: str = "text", window: int = WINDOW)
     hashed = different.where("hot").select("sid", "segment").mapInArrow(_hash_windows(window), "sid binary, a long, mark binary")
     twice = hashed.groupBy("mark").agg(F.count("*").alias("n")).where("n > 1").select("mark")
     hot = hashed.join(twice, "mark", "left_semi").select("sid", "a", F.col("a").alias("b"))
-    parts = kept_table(cold.unionByName(hot), "parts")
+    parts = kept_table(cold.unionByName(hot), "parts", bag)
     by_sid = parts.groupBy("sid").agg(F.collect_list(F.struct("a", "b")).alias("parts"))
     places = segments.select("tkey", "p0", "p1", "sid").join(counts, "sid").join(by_sid, "sid", "left")
     whole = F.array(F.struct(F.col("p0").alias("a"), F.col("p1").alias("b")))
@@ -228,6 +231,7 @@ def with_repeats(docs: DataFrame, text_col: str = "text", window: int = WINDOW)
     full = F.array(F.struct(F.lit(0).cast("long").alias("start"), F.col("size").alias("end")))
     all_spans = texts.join(spans, "tkey", "left").select(F.col("tkey").alias("own_key"), F.when(F.col("copies") > 1, full).otherwise(F.col("spans")).alias("own_spans")).where("own_spans is not null")
     all_spans = kept_table(all_spans, "spans")
+    discard(docs.sparkSession, bag)
     none = F.array().cast("array<struct<start:bigint,end:bigint>>")
     return docs.drop("spans").join(all_spans, key == F.col("own_key"), "left").withColumn("spans", F.coalesce("own_spans", none)).drop("own_key", "own_spans")
 
