@@ -197,6 +197,20 @@ def test_leaks(spark, documents):
     assert leaks(documents([]), table).count() == 0 and leaks(documents(rows), table.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("whole", [0, 1, 3])
+def test_leaks_of_frequent_variants(spark, documents, whole):
+    rng = np.random.default_rng(11)
+    item = words(rng, 20, 20_000)
+    edited = item.split()
+    edited[4::5] = ["changed"] * len(edited[4::5])
+    rows = [(k, words(rng, 60, 20_000) + " " + " ".join(edited) + " " + words(rng, 60, 20_000)) for k in range(40)]
+    rows += [(200 + k, words(rng, 60, 20_000) + " " + item) for k in range(whole)]
+    # One seed of the item in clean documents is no leak.
+    rows += [(300 + k, words(rng, 60, 20_000) + " " + " ".join(item.split()[:3]) + " " + words(rng, 60, 20_000)) for k in range(60)]
+    found = leaks(documents(rows), spark.createDataFrame([(0, item)], "item_id long, text string")).collect()
+    assert sorted(r.doc_id for r in found) == [i for i, _ in rows if i < 300]
+
+
 def test_alignment_score():
     x = np.array([1, 2, 3, 4, 5])
     assert best_alignment(x, np.array([9, 1, 2, 3, 4, 5, 9])) == (10, 1, 6)

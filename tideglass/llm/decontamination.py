@@ -1,9 +1,10 @@
 """Benchmark decontamination: rare n-gram seeds, then Smith-Waterman alignment.
 
 A bit table of fixed size tells tasks which word n-grams of a text may belong to a test item; around each such place a
-passage is cut out. How many passages have each n-gram is counted over all documents, and an item is sought by those of
-its n-grams that are rare for it: not much more frequent than the median of its own, so a leak in very many documents
-stays visible and common phrases do not seed. Passages that share a seed with an item are aligned with it word by word.
+passage is cut out. How many passages have each n-gram is counted over all documents, which tells the n-grams of an item
+that are rare for it: not much more frequent than the median of its own. Passages that share a rare seed with an item are
+aligned with it word by word. Passages that share only common ones are aligned too, unless they have so few of its words
+that no alignment can reach the threshold: a variant in very many documents makes its own seeds common.
 """
 
 from __future__ import annotations
@@ -22,7 +23,7 @@ from tideglass.llm.words import shingles, split_words
 SEED_WORDS = 3
 #: Bits of the table that all tasks hold (1 MiB), whatever the size of the benchmark.
 TABLE_BITS = 23
-#: A seed may be so many times as frequent as the median n-gram of its item, or occur FLOOR times anyway.
+#: A rare seed may be so many times as frequent as the median n-gram of its item, or occur FLOOR times anyway.
 RARE_FACTOR, FLOOR = 4, 16
 MATCH, OTHER, GAP = 2, -1, -1
 #: Share of the best score of an item from which a passage counts as a copy of it.
@@ -92,8 +93,12 @@ def _align(leak: float):
         for batch in batches:
             keep, scores, froms, tos = [], [], [], []
             items, words, starts, ends = (batch.column(c) for c in ("item", "words", "starts", "ends"))
+            rare = batch.column("rare").to_pylist()
             for i in range(batch.num_rows):
                 item, passage = items[i].values.to_numpy(), words[i].values.to_numpy()
+                # A score is MATCH for each word of the item that the passage has, at most.
+                if not rare[i] and np.isin(item, passage).sum() < leak * len(item):
+                    continue
                 # The table of a batch of equal pairs is small: item words times passage words.
                 score, a, b = best_alignment(item, passage)
                 if score >= leak * MATCH * len(item):
@@ -118,7 +123,7 @@ def leaks(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: s
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     read = items.select(F.col(item_col).cast("long").alias("item_id"), F.col(text_col).alias("text")).mapInArrow(_item_seeds, "item_id long, seeds array<long>, words array<long>")
     every = kept_table(read.where("size(words) > 0").withColumn("key", F.xxhash64("words")), "items")
-    unique = every.groupBy("key").agg(F.first("seeds").alias("seeds"), F.first("words").alias("words"))
+    unique = kept_table(every.groupBy("key").agg(F.first("seeds").alias("seeds"), F.first("words").alias("words")), "unique")
     # One bit for each seed; at most 2^(TABLE_BITS - 6) rows come to the driver.
     slot = F.shiftrightunsigned("seed", 64 - TABLE_BITS)
     marked = every.select(F.explode("seeds").alias("seed")).select(slot.alias("slot")).groupBy(F.shiftright("slot", 6).alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, cast(slot & 63 as int))")).alias("bits"))
@@ -131,12 +136,13 @@ def leaks(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: s
     passages = kept_table(found.withColumn("print", F.xxhash64("words")), "passages")
     hits = passages.select("doc_id", "at", "print", F.explode("seeds").alias("seed"))
     df = hits.groupBy("seed").agg(F.count("*").alias("df"))
-    own = unique.select("key", F.explode(F.array_distinct("seeds")).alias("seed")).join(df, "seed", "left").withColumn("df", F.coalesce("df", F.lit(0)))
+    own = unique.select("key", F.explode(F.array_distinct("seeds")).alias("seed")).join(df, "seed")
     usual = own.groupBy("key").agg(F.percentile_approx("df", 0.5, 1000).alias("usual"))
-    rare = kept_table(own.join(usual, "key").where((F.col("df") > 0) & ((F.col("df") <= RARE_FACTOR * F.col("usual")) | (F.col("df") <= FLOOR))).select("seed", "key"), "seeds")
-    pairs = hits.join(rare, "seed").select(F.col("doc_id").alias("of"), F.col("at").alias("a"), F.col("print").alias("p"), "key").distinct()
+    rare = (F.col("df") <= RARE_FACTOR * F.col("usual")) | (F.col("df") <= FLOOR)
+    seeds = kept_table(own.join(usual, "key").select("seed", "key", rare.alias("rare")), "seeds")
+    pairs = hits.join(seeds, "seed").groupBy(F.col("doc_id").alias("of"), F.col("at").alias("a"), F.col("print").alias("p"), "key").agg(F.max("rare").alias("rare"))
     same = F.col("doc_id").eqNullSafe(F.col("of")) & (F.col("at") == F.col("a")) & (F.col("print") == F.col("p"))
-    joined = passages.join(pairs, same).select("doc_id", "key", "words", "starts", "ends").join(unique.select("key", F.col("words").alias("item")), "key")
+    joined = passages.join(pairs, same).select("doc_id", "key", "rare", "words", "starts", "ends").join(unique.select("key", F.col("words").alias("item")), "key")
     aligned = joined.mapInArrow(_align(leak), "doc_id long, key long, score double, start long, end long")
     best = aligned.groupBy("doc_id", "key").agg(F.max(F.struct("score", F.negative("start").alias("s"), "end")).alias("b")).select("doc_id", "key", "b.score", F.negative("b.s").alias("start"), "b.end")
     return best.join(every.select("key", "item_id"), "key").select("doc_id", "item_id", "score", "start", "end")
