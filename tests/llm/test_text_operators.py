@@ -8,6 +8,7 @@ import public_tokenizers
 import pytest
 from tokenizers import Tokenizer
 
+from tideglass.llm import near_duplicates as near_module
 from tideglass.llm.decontamination import best_alignment, decontaminate, leaks
 from tideglass.llm.near_duplicates import near_duplicates
 from tideglass.llm.packing import best_fit, bins_needed, document_pieces, pack
@@ -93,6 +94,21 @@ def components_of(rows):
     return [(rows[i][0], len(sets[i]), least[root(i)]) for i in range(len(rows))]
 
 
+def test_large_buckets_equal_brute_force(spark, documents, monkeypatch):
+    monkeypatch.setattr(near_module, "BLOCK_ROWS", 40, raising=False)
+    rng = np.random.default_rng(8)
+    base, rows = words(rng, 120, 5_000).split(), []
+    # A template whose copies are mostly not similar enough to each other.
+    for k in range(400):
+        copy = list(base)
+        for at in rng.choice(len(copy), 3, replace=False):
+            copy[at] = f"edit{k}x{at}"
+        rows.append((len(rows), " ".join(copy)))
+    want = components_of(rows)
+    got = near_duplicates(documents(rows)).collect()
+    assert sorted((r.doc_id, r.n_shingles, r.component_id) for r in got) == sorted(want)
+
+
 def test_near_duplicates_equal_brute_force(spark, documents):
     rng = np.random.default_rng(2)
     rows, passage = [], words(rng, 40)

@@ -8,11 +8,14 @@ a chance of 4e-5, far less above.
 Equal sets are one class from the start. Half keys that one class alone has make no table keys. In a table, members of
 a bucket are compared with a member drawn by hash, not with each other; classes that link are joined, and buckets that
 still hold several components are compared again with other members, all pairs across components where the bucket is
-small, until no link comes anymore or ``ROUNDS`` are over. Every link is confirmed on the full sets.
+small, until no link comes anymore or ``ROUNDS`` are over. What large buckets then still hold in several components is
+decided exactly: rows that such buckets hold together make a cluster, and the full sets of each cluster are compared
+across components, block by block. Every link is confirmed on the full sets.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -31,8 +34,11 @@ SMALL_BUCKET = 24
 #: Rows of each bucket that the first round compares all others with.
 HEADS = 2
 #: Rows of a bucket's largest component that each later round compares the rest with; a row is in dozens of buckets.
-MEMBERS = 1#: Rounds of comparisons at most. They end earlier, as a rule, when one brings no link.
+MEMBERS = 1
+#: Rounds of drawn comparisons at most, two at least; they only spare work for the exact rest.
 ROUNDS = 6
+#: Rows of a block of the exact rest, on average, and columns of its tables.
+BLOCK_ROWS, BLOCK_COLUMNS = 256, 16_384
 _SEEDS = mixed(np.arange(1, HALVES * ROWS + 1, dtype=np.uint64) * np.uint64(0xD1342543DE82EF95))
 _FACTORS = mixed(_SEEDS) | np.uint64(1)
 
@@ -140,6 +146,84 @@ def _small_pairs(rows: DataFrame) -> DataFrame:
     return few.join(other, "bucket").where((F.col("id") < F.col("id2")) & (F.col("comp") != F.col("comp2"))).select(F.col("id").alias("a"), F.col("id2").alias("b")).distinct()
 
 
+def _linked_blocks(percent: int):
+    """Links across components between the rows of two blocks (or in one), as few as join what is linked."""
+
+    def run(group: pa.Table) -> pa.Table:
+        ids, comps, side = (group.column(c).to_pylist() for c in ("id", "comp", "side"))
+        sets = [np.frombuffer(x, "<u8") for x in group.column("members").to_pylist()]
+        code = {c: k for k, c in enumerate(dict.fromkeys(comps))}
+        left = [i for i, s in enumerate(side) if s == 0]
+        right = [i for i, s in enumerate(side) if s == 1] or left
+        a_out, b_out = [], []
+        if left and len(code) > 1:
+            parts = [(np.concatenate([sets[i] for i in own]), np.repeat(np.arange(len(own)), [len(sets[i]) for i in own])) for own in (left, right)]
+            both = np.intersect1d(parts[0][0], parts[1][0])
+            shared = np.zeros((len(left), len(right)))
+            for k in range(0, len(both), BLOCK_COLUMNS):
+                some = both[k : k + BLOCK_COLUMNS]
+                tables = []
+                for (values, row), own in zip(parts, (left, right), strict=True):
+                    at = np.minimum(np.searchsorted(some, values), len(some) - 1)
+                    hit = some[at] == values
+                    table = np.zeros((len(own), len(some)), np.float32)
+                    table[row[hit], at[hit]] = 1
+                    tables.append(table)
+                shared += tables[0] @ tables[1].T
+            n, m = (np.array([len(sets[i]) for i in own]) for own in (left, right))
+            kinds = np.array([code[c] for c in comps])
+            near = (100 * shared >= percent * (n[:, None] + m[None, :] - shared)) & (kinds[left][:, None] != kinds[right][None, :])
+            up = list(range(len(code)))
+            for x, y in np.argwhere(near):
+                i, j = left[x], right[y]
+                p, q = kinds[i], kinds[j]
+                while up[p] != p:
+                    p = up[p] = up[up[p]]
+                while up[q] != q:
+                    q = up[q] = up[up[q]]
+                if p != q:
+                    up[p] = q
+                    a_out.append(ids[i])
+                    b_out.append(ids[j])
+        return pa.table({"a": pa.array(a_out, pa.binary()), "b": pa.array(b_out, pa.binary())})
+
+    return run
+
+
+def _clusters(buckets: DataFrame, roots: DataFrame, bag: list[str]) -> DataFrame:
+    """``id, comp, cluster`` of rows in large buckets that hold several components; such buckets join their rows."""
+    rows = buckets.join(roots, "id", "left").select("bucket", "id", F.coalesce("root", "id").alias("comp"))
+    large = rows.groupBy("bucket").agg(F.count("*").alias("n"), F.min("comp").alias("c0"), F.max("comp").alias("c1"), F.min("id").alias("a")).where((F.col("n") > SMALL_BUCKET) & (F.col("c0") != F.col("c1")))
+    left = kept_table(rows.join(large.select("bucket", "a"), "bucket").select("id", "comp", "a").distinct(), "left", bag)
+    cluster = components(left.select("a", F.col("id").alias("b")))
+    return kept_table(left.select("id", "comp").distinct().join(cluster.toDF("id", "cluster"), "id"), "clusters", bag)
+
+
+def _rest_links(rows: DataFrame, percent: int, bag: list[str]) -> DataFrame:
+    """Links ``a, b`` across components among ``rows`` (``id, comp, cluster, n, members``), all pairs of a cluster."""
+    # Sets that can be similar enough are in the same band of sizes or in neighbouring ones.
+    width = max(math.log(100 / percent) * 1.001, 0.01) if percent > 0 else 1e9
+    banded = rows.withColumn("band", F.floor(F.log("n") / F.lit(width)))
+    counts = banded.groupBy("cluster", "band").agg(F.ceil(F.count("*") / F.lit(BLOCK_ROWS)).alias("parts"))
+    dealt = kept_table(banded.join(counts, ["cluster", "band"]).withColumn("part", F.pmod(F.xxhash64("id"), F.col("parts"))).select("cluster", "band", "part", "id", "comp", "members"), "dealt", bag)
+    blocks = kept_table(dealt.groupBy("cluster", "band", "part").agg(F.min("comp").alias("c0"), F.max("comp").alias("c1")), "blocks", bag)
+    x, y = blocks.toDF("cluster", "xb", "xp", "x0", "x1"), blocks.toDF("cluster", "yb", "yp", "y0", "y1")
+    ordered = ((F.col("yb") == F.col("xb")) & (F.col("yp") >= F.col("xp"))) | (F.col("yb") == F.col("xb") + 1)
+    several = F.least("x0", "y0") != F.greatest("x1", "y1")
+    met = kept_table(x.join(y, "cluster").where(ordered & several).select("cluster", "xb", "xp", "yb", "yp"), "met", bag)
+    first = met.withColumn("band", F.col("xb")).withColumn("part", F.col("xp")).withColumn("side", F.lit(0))
+    second = met.where("xb <> yb or xp <> yp").withColumn("band", F.col("yb")).withColumn("part", F.col("yp")).withColumn("side", F.lit(1))
+    sides = dealt.join(first.unionByName(second), ["cluster", "band", "part"])
+    return sides.groupBy("cluster", "xb", "xp", "yb", "yp").applyInArrow(_linked_blocks(percent), "a binary, b binary")
+
+
+def _merged(roots: DataFrame, new: DataFrame, name: str) -> DataFrame:
+    """``roots`` after the links ``new``."""
+    merged = components(new.join(roots.toDF("a", "root_a"), "a", "left").join(roots.toDF("b", "root_b"), "b", "left").select(F.coalesce("root_a", "a").alias("a"), F.coalesce("root_b", "b").alias("b")))
+    old = roots.join(merged.toDF("root", "up"), "root", "left").select("id", F.coalesce("up", "root").alias("root"))
+    return kept_table(old.unionByName(merged.join(roots.select("id"), "id", "left_anti").select("id", "root")), name)
+
+
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 5, percent: int = 75) -> DataFrame:
     """``doc_id, n_shingles, component_id, kept`` for every row of ``docs``.
 
@@ -164,6 +248,11 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     buckets = kept_table(buckets.join(several, "bucket", "left_semi"), "shared", bag)
     side = classes.select("set_key", "n", "marks")
     agree = F.expr(f"size(filter(sequence(0, {HALVES * ROWS - 1}), i -> substring(p, i * 4 + 1, 4) = substring(q, i * 4 + 1, 4)))")
+
+    def full_sets(of: DataFrame) -> DataFrame:
+        texts = maybe_in(docs, F.col("doc_id"), of, "doc_id").join(of.withColumnRenamed("doc_id", "least"), F.col("doc_id").eqNullSafe(F.col("least"))).select("set_key", "text")
+        return texts.mapInArrow(_sets(size), "set_key binary, members binary").where("members is not null").dropDuplicates(["set_key"])
+
     tested, roots, sets = None, None, None
     step = 0
     while step < ROUNDS:
@@ -185,8 +274,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         if sets is not None:
             wanted = wanted.join(sets.select("set_key"), "set_key", "left_anti")
         of = wanted.join(classes, "set_key").select(F.col("least").alias("doc_id"), "set_key")
-        texts = maybe_in(docs, F.col("doc_id"), of, "doc_id").join(of.withColumnRenamed("doc_id", "least"), F.col("doc_id").eqNullSafe(F.col("least"))).select("set_key", "text")
-        more = texts.mapInArrow(_sets(size), "set_key binary, members binary").where("members is not null").dropDuplicates(["set_key"])
+        more = full_sets(of)
         if sets is None or not near.isEmpty():
             more = kept_table(more, f"sets{step}", bag)
             sets = more if sets is None else sets.unionByName(more)
@@ -200,9 +288,15 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         if roots is None:
             roots = components(new)
         else:
-            merged = components(new.join(roots.toDF("a", "root_a"), "a", "left").join(roots.toDF("b", "root_b"), "b", "left").select(F.coalesce("root_a", "a").alias("a"), F.coalesce("root_b", "b").alias("b")))
-            old = roots.join(merged.toDF("root", "up"), "root", "left").select("id", F.coalesce("up", "root").alias("root"))
-            roots = kept_table(old.unionByName(merged.join(roots.select("id"), "id", "left_anti").select("id", "root")), f"roots{step}")
+            roots = _merged(roots, new, f"roots{step}")
+    left = _clusters(buckets, roots, bag)
+    if not left.isEmpty():
+        of = left.join(classes.withColumnRenamed("set_key", "id"), "id").select(F.col("least").alias("doc_id"), F.col("id").alias("set_key"))
+        full = kept_table(full_sets(of), "full", bag).withColumnRenamed("set_key", "id")
+        rows = left.join(full, "id").withColumn("n", F.length("members") / 8)
+        new = kept_table(_rest_links(rows, percent, bag), "rest_links", bag)
+        if not new.isEmpty():
+            roots = _merged(roots, new, "roots_rest")
     discard(docs.sparkSession, bag)
     named = classes.join(roots.withColumnRenamed("id", "set_key"), "set_key", "left").withColumn("root", F.coalesce("root", "set_key"))
     least = named.groupBy("root").agg(F.min("least").alias("component_id"))
