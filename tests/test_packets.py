@@ -4,7 +4,8 @@ from datetime import datetime, timedelta
 import numpy as np
 import pytest
 
-from tideglass.operators.packets import anchored_windows, arrival_gaps, assemble_flows
+from tideglass.operators.anchored import anchored_windows, chain_ends, compose, steps_of
+from tideglass.operators.packets import arrival_gaps, assemble_flows
 from tideglass.schemas import PACKETS
 
 START = datetime(2017, 7, 5, 9, 0, 0)
@@ -77,8 +78,8 @@ def test_anchored_windows_equal_the_plain_loop(spark, seed):
     ]
     df = spark.createDataFrame(rows, PACKETS)
     want = plain_loop(rows, 10)
-    for bucket_widths in (2, 7):
-        got = {r.ts: r for r in anchored_windows(df, width=10, bucket_widths=bucket_widths).collect()}
+    for bucket_widths, fan in ((2, 3), (7, 2), (60, 32)):
+        got = {r.ts: r for r in anchored_windows(df, width=10, bucket_widths=bucket_widths, fan=fan).collect()}
         assert set(got) == {s + timedelta(seconds=10) for s in want}
         for s, part in want.items():
             r = got[s + timedelta(seconds=10)]
@@ -95,3 +96,51 @@ def test_anchored_windows_per_key(spark):
     for d in "xyz":
         want = plain_loop([r for r in rows if r[3] == d], 10)
         assert {r.ts for r in got if r.dst_ip == d} == {s + timedelta(seconds=10) for s in want}
+
+
+def steps_by_hand(times, entry, width):
+    """Last start of a chain that enters at ``entry``; None if nothing is left."""
+    last = None
+    while len(later := times[times >= entry]):
+        last = int(later[0])
+        entry = last + width
+    return last
+
+
+@pytest.mark.parametrize("seed", range(5))
+def test_steps_compose_in_any_grouping(seed):
+    rng = np.random.default_rng(seed)
+    width, size, n = 10, 40, 9
+    times = np.unique(rng.integers(0, size * n, [400, 60, 12][seed % 3]))
+    own = [(b * size, times[times // size == b]) for b in range(n) if (times // size == b).any()]
+    lows, tables = [low for low, _ in own], [steps_of(t, low, width) for low, t in own]
+    left = [compose(tables[:2], lows[:2], width), *tables[2:]] if len(tables) > 2 else tables
+    pairs = [compose(tables[i : i + 2], lows[i : i + 2], width) for i in range(0, len(tables), 2)]
+    for some, at in ((tables, lows), (left, [lows[0], *lows[2:]]), (pairs, lows[::2])):
+        whole = compose(some, at, width)
+        assert whole.after(None, width) == steps_by_hand(times, -1, width)
+        for start in range(lows[0] - width, lows[0]):
+            want = steps_by_hand(times, start + width, width)
+            assert whole.after(start, width) == (start if want is None else want)
+        assert len(whole.upto) <= width + 1
+    assert (chain_ends(times, width)[0]) == steps_by_hand(times, int(times[0]), width)
+
+
+def test_anchored_windows_of_odd_packets(spark):
+    rows = [packet(0.5), packet(-3.5), packet(8, v=6), packet(9, v=None), packet(12), (None, *packet(1)[1:]), packet(40_000_000), packet(40_000_010)]
+    df = spark.createDataFrame(rows, PACKETS)
+    got = sorted(r.ts for r in anchored_windows(df, bucket_widths=1, fan=2).collect())
+    assert got == [START + timedelta(seconds=s) for s in (6.5, 22, 40_000_010)]
+    old = df.selectExpr("ts - INTERVAL 60 YEARS AS ts", "* EXCEPT (ts)")
+    assert anchored_windows(old.unionByName(df), bucket_widths=100_000, fan=2).count() == 7
+    assert anchored_windows(df.limit(0)).count() == 0
+    assert anchored_windows(df.filter("ip_version = 6")).count() == 0
+
+
+def test_anchored_windows_with_horizon_label(spark):
+    df = spark.createDataFrame([packet(t, dst=d) for d in "xy" for t in range(0, 400, 5)], PACKETS)
+    spans = spark.createDataFrame([("x", START + timedelta(seconds=200), START + timedelta(seconds=215))], "dst_ip string, start timestamp, end timestamp")
+    got = anchored_windows(df, "dst_ip", intervals=spans, bucket_widths=3, fan=2).collect()
+    label = {(r.dst_ip, int((r.ts - START).total_seconds())): r.label for r in got}
+    assert len(label) == 2 * 39 and {v for (d, _), v in label.items() if d == "y"} == {"NORMAL"}
+    assert [label["x", s] for s in (140, 150, 170, 200, 210, 220)] == ["NEAR-TERM", "NEAR-TERM", "IMMINENT", "IMMINENT", "IMMINENT", "NORMAL"]

@@ -1,17 +1,13 @@
-"""Packets to connection records, and packet-anchored windows."""
+"""Packets to connection records."""
 
 from __future__ import annotations
 
 from collections.abc import Sequence
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from tideglass.functions.scalar import TCP_FLAGS, tcp_flag
-from tideglass.operators.timeline import as_keys
 
 MICROS = 1_000_000
 
@@ -89,126 +85,3 @@ def assemble_flows(packets: DataFrame) -> DataFrame:
         aggs.append(F.count_if(tcp & tcp_flag("tcp_flags", flag)).alias(f"flag_{flag}"))
     flows = packets.groupBy("uid").agg(*aggs).withColumn("frag_count", F.lit(0))
     return flows.join(arrival_gaps(packets), "uid")
-
-
-def _chain_ends(times: np.ndarray, width: int) -> np.ndarray:
-    """For each time: the last window start reached if a window opens there."""
-    nxt = np.searchsorted(times, times + width)
-    here = np.arange(len(times))
-    jump = np.where(nxt < len(times), nxt, here)
-    while True:
-        further = jump[jump]
-        if np.array_equal(further, jump):
-            return times[jump]
-        jump = further
-
-
-def anchored_windows(
-    packets: DataFrame,
-    key: str | Sequence[str] | None = None,
-    ts: str = "ts",
-    width: int = 10,
-    bucket_widths: int = 60,
-) -> DataFrame:
-    """Windows that open at a packet and close at the first packet ``width``
-    seconds or more later, which opens the next one.
-
-    Each start depends on the one before, yet a capture need not be walked in
-    one piece. Per time bucket the start a chain leaves with is a rising step
-    function of the time it may enter with, and chains merge quickly, so this
-    function is a short table. A fold over these tables gives the true entry of
-    every bucket, and all buckets are then walked at once. The window that is
-    still open at the end of a series is not reported. ``ts`` is start + width.
-    Only IPv4 packets count, if the table tells the version. A task holds the
-    distinct times of one series within ``bucket_widths`` widths.
-    """
-    if "ip_version" in packets.columns:
-        packets = packets.filter(F.col("ip_version") == 4)
-    keys = as_keys(key)
-    step, size = width * MICROS, width * bucket_widths * MICROS
-    group = keys or ["_series"]
-    base = packets if keys else packets.withColumn("_series", F.lit(0))
-    base = base.dropna(subset=[ts, *group]).withColumn("_t", F.unix_micros(ts))
-    times = base.select(*group, "_t").distinct().withColumn("_b", F.floor(F.col("_t") / F.lit(size)).cast("long"))
-    key_fields = [base.schema[k] for k in group]
-
-    def schema(ddl: str) -> T.StructType:
-        return T.StructType(key_fields + T.StructType.fromDDL(ddl).fields)
-
-    def exits(names: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        t = np.sort(pdf["_t"].to_numpy())
-        last = _chain_ends(t, step)
-        # Only these entries can be reached from an earlier bucket.
-        m = min(int(np.searchsorted(t, names[-1] * size + step)), len(t) - 1) + 1
-        final = np.append(last[1:m] != last[: m - 1], True)
-        out = pd.DataFrame({"_b": names[-1], "_upto": t[:m][final], "_last": last[:m][final], "_top": t[-1]})
-        for name, value in zip(group, names):
-            out[name] = value
-        return out[group + ["_b", "_upto", "_last", "_top"]]
-
-    steps = times.groupBy(*group, "_b").applyInPandas(
-        exits, schema("_b long, _upto long, _last long, _top long")
-    )
-
-    def fold(names: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["_b", "_upto"])
-        rows, start = [], None
-        for b, part in pdf.groupby("_b", sort=True):
-            rows.append((b, start))
-            upto, last = part["_upto"].to_numpy(), part["_last"].to_numpy()
-            entry = upto[0] if start is None else start + step
-            if start is None:
-                start = last[0]
-            elif entry <= part["_top"].iat[0]:
-                start = last[int(np.searchsorted(upto, entry))]
-        out = pd.DataFrame(rows, columns=["_b", "_open"]).astype({"_open": "Int64"})
-        out["_final"] = int(start)
-        for name, value in zip(group, names):
-            out[name] = value
-        return out[group + ["_b", "_open", "_final"]]
-
-    entries = steps.groupBy(*group).applyInPandas(fold, schema("_b long, _open long, _final long"))
-
-    def walk(names: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        t = np.sort(pdf["_t"].to_numpy())
-        opened = pdf["_open"].iat[0]
-        starts = [] if pd.isna(opened) else [int(opened)]
-        at = int(np.searchsorted(t, starts[0] + step)) if starts else 0
-        while at < len(t):
-            starts.append(int(t[at]))
-            at = int(np.searchsorted(t, t[at] + step))
-        s = np.array(starts, dtype="int64")
-        out = pd.DataFrame({"_t": t, "_start": s[np.searchsorted(s, t, side="right") - 1]})
-        out["_final"] = pdf["_final"].iat[0]
-        for name, value in zip(group, names):
-            out[name] = value
-        return out[group + ["_t", "_start", "_final"]]
-
-    assigned = (
-        times.join(entries, [*group, "_b"])
-        .groupBy(*group, "_b")
-        .applyInPandas(walk, schema("_t long, _start long, _final long"))
-        .filter("_start < _final")
-        .drop("_final")
-    )
-    syn = F.coalesce(F.col("is_tcp"), F.lit(False)) & tcp_flag("tcp_flags", "syn")
-    merged = base.groupBy(*group, "_t", "src_ip").agg(
-        F.count(F.lit(1)).alias("_n"),
-        F.count_if(syn).alias("_syn"),
-        F.sum(F.col("frame_len").cast("long")).alias("_bytes"),
-    )
-    out = (
-        merged.join(assigned, [*group, "_t"])
-        .groupBy(*group, "_start")
-        .agg(
-            (F.sum("_n") / F.lit(float(width))).alias("connections_per_sec"),
-            (F.sum("_syn") / F.lit(float(width))).alias("syn_rate"),
-            F.count_distinct("src_ip").alias("unique_source_ips"),
-            (F.sum("_bytes") / F.sum("_n")).alias("avg_packet_size"),
-        )
-    )
-    return out.select(
-        *keys,
-        F.timestamp_micros(F.col("_start") + F.lit(step)).alias("ts"),
-        "connections_per_sec", "syn_rate", "unique_source_ips", "avg_packet_size",
-    )

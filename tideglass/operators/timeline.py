@@ -9,8 +9,8 @@ helpers here cut every series into pieces of bounded length first:
 * ``frame_chunks`` cuts a numbered series into chunks of fixed size and copies
   the few rows a backward frame needs from the chunk before, so that row frames
   can run per chunk. A chunk never holds more than ``chunk + before`` rows.
-* ``next_event_gap`` finds the next event within a limited horizon by copying
-  events into the time buckets from which they can be seen.
+* ``event_horizon`` finds the events around each row: what earlier and later
+  events mean for a time bucket comes from a scan over a table of buckets.
 """
 
 from __future__ import annotations
@@ -150,8 +150,7 @@ def event_horizon(
     by: str | Sequence[str] | None,
     ts: str,
     horizon: float,
-    bucket_seconds: int | None = None,
-    salts: int = 8,
+    bucket_seconds: int = 600,
 ) -> DataFrame:
     """Adds ``_inside`` and ``_gap`` for each row of ``df``.
 
@@ -159,47 +158,60 @@ def event_horizon(
     some event covers ``ts`` (both ends included); ``_gap`` is the number of
     seconds to the nearest later start, null beyond ``horizon``.
 
-    No pairs are formed. Each event is copied into the time buckets from which
-    it can be seen, rows and events are stacked, and two running aggregates per
-    bucket carry the latest end forward and the next start backward. Rows of a
-    busy bucket are spread over ``salts`` tasks, each with its own event copies.
+    No pairs are formed and no event is copied. A table with one row per series
+    and time bucket says which buckets hold rows and events; a scan over it
+    gives each bucket the latest end of all earlier events and the next start
+    of all later ones. Both join the bucket as two more events, and running
+    aggregates inside the bucket do the rest, so one shuffle moves the rows
+    whatever the length of an event. ``bucket_seconds`` bounds what a task sorts.
     """
     keys = as_keys(by)
-    size = bucket_seconds or max(3_600, int(horizon) + 1)
     us = 1_000_000
-    first = F.floor((F.unix_micros("start") - int(horizon * us)) / F.lit(size * us)).cast("long")
-    reach = F.sequence(first, bucket("end", size))
-    # Copies of equal events in one bucket bring nothing new.
-    seen = (
+    own = (
         events.filter(F.col("start").isNotNull() & (F.col("end") >= F.col("start")))
         .select(
             *keys,
-            F.explode(reach).alias(BUCKET),
+            bucket("start", bucket_seconds).alias(BUCKET),
             F.unix_micros("start").alias("_t"),
             F.unix_micros("end").alias("_end"),
         )
         .groupBy(*keys, BUCKET, "_t")
         .agg(F.max("_end").alias("_end"))
-        .withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
     )
-    rows = df.withColumns(
-        {
-            BUCKET: bucket(ts, size),
-            "_t": F.unix_micros(ts),
-            "_salt": split_hot(salts, *df.columns),
-        }
+    rows = df.withColumns({BUCKET: bucket(ts, bucket_seconds), "_t": F.unix_micros(ts)})
+    held = own.groupBy(*keys, BUCKET).agg(F.min("_t").alias("_first"), F.max("_end").alias("_last"))
+    seen = rows.filter(F.col("_t").isNotNull()).select(*keys, BUCKET).distinct()
+    table = held.unionByName(seen, allowMissingColumns=True).groupBy(*keys, BUCKET).agg(
+        F.max("_first").alias("_first"), F.max("_last").alias("_last")
     )
-    both = rows.withColumn("_row", F.lit(True)).unionByName(seen, allowMissingColumns=True)
-    part = Window.partitionBy(*keys, BUCKET, "_salt")
+    series = Window.partitionBy(*(keys or [F.lit(0)]))
+    earlier = series.orderBy(BUCKET).rowsBetween(Window.unboundedPreceding, -1)
+    later = series.orderBy(F.desc(BUCKET)).rowsBetween(Window.unboundedPreceding, -1)
+    carried = table.withColumns({"_before": F.max("_last").over(earlier), "_after": F.min("_first").over(later)})
+    # One event that ends as late as any before, set before all rows; one that begins as early as any after.
+    edges = carried.select(
+        *keys,
+        BUCKET,
+        F.explode(
+            F.array(
+                F.struct((F.col(BUCKET) * F.lit(bucket_seconds * us) - 1).alias("_t"), F.col("_before").alias("_end")),
+                F.struct(F.col("_after").alias("_t"), F.col("_after").alias("_end")),
+            )
+        ).alias("_edge"),
+    ).select(*keys, BUCKET, "_edge.*").filter(F.col("_end").isNotNull())
+    both = (
+        rows.withColumn("_row", F.lit(True))
+        .unionByName(own, allowMissingColumns=True)
+        .unionByName(edges, allowMissingColumns=True)
+    )
+    part = Window.partitionBy(*keys, BUCKET)
     # A range frame takes in events that start at the very same time.
     upto = part.orderBy("_t").rangeBetween(Window.unboundedPreceding, Window.currentRow)
-    later = part.orderBy(F.desc("_t")).rangeBetween(Window.unboundedPreceding, -1)
+    behind = part.orderBy(F.desc("_t")).rangeBetween(Window.unboundedPreceding, -1)
     start = F.when(F.col("_row").isNull(), F.col("_t"))
     gap = (F.col("_next") - F.col("_t")) / F.lit(us)
     return (
-        both.withColumns(
-            {"_reach": F.max("_end").over(upto), "_next": F.min(start).over(later)}
-        )
+        both.withColumns({"_reach": F.max("_end").over(upto), "_next": F.min(start).over(behind)})
         .filter(F.col("_row"))
         .withColumns(
             {
@@ -207,5 +219,5 @@ def event_horizon(
                 "_gap": F.when(gap <= horizon, gap),
             }
         )
-        .drop(BUCKET, "_t", "_salt", "_row", "_end", "_reach", "_next")
+        .drop(BUCKET, "_t", "_row", "_end", "_reach", "_next")
     )

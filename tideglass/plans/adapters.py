@@ -117,6 +117,10 @@ def event_packets(spark: SparkSession, sf_dir: str) -> DataFrame:
         (F.col("event_type") != "view").alias("is_tcp"),
         F.when(F.col("event_type") == "click", 2).otherwise(16).alias("tcp_flags"),
         F.get_json_object("props", "$.k").cast("int").alias("frame_len"),
+        # Signups come by IPv6, and every seventh error is no IP packet.
+        F.when(F.col("event_type") == "signup", 6)
+        .when((F.col("event_type") == "error") & (F.col("event_id") % 7 == 0), F.lit(None))
+        .otherwise(4).alias("ip_version"),
     )
 
 

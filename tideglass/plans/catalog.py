@@ -13,7 +13,8 @@ from tideglass.functions import scores as P
 from tideglass.functions.hashing import row_hash
 from tideglass.operators import forecast, labels, metrics, sampling, sequences
 from tideglass.operators.neighbours import knn_classify
-from tideglass.operators.packets import anchored_windows, assemble_flows
+from tideglass.operators.anchored import anchored_windows
+from tideglass.operators.packets import assemble_flows
 from tideglass.operators.scaling import fit_robust_scaler
 from tideglass.operators.windows import (
     change_features,
@@ -182,10 +183,23 @@ def assemble_flows_from_packets(spark, sf):
 
 @query
 def anchored_windows_capture(spark, sf):
-    out = anchored_windows(event_packets(spark, sf), None, width=HOUR, bucket_widths=24)
+    """One capture; the windows carry the time to the next burst of large packets as risk class."""
+    capture = event_packets(spark, sf)
+    big = capture.filter("frame_len > 98 AND ip_version = 4")
+    spans = labels.attack_intervals(big, [F.window("ts", "2 hours")], "ts", F.lit(True)).select("start", "end")
+    out = anchored_windows(capture, None, width=HOUR, bucket_widths=24, intervals=spans, horizons=HORIZONS, fan=8)
     cols = ["connections_per_sec", "syn_rate", "avg_packet_size"]
     stamp = F.unix_micros("ts").alias("ts_us")
-    return rounded(out.select(stamp, *cols, "unique_source_ips"), cols)
+    return rounded(out.select(stamp, *cols, "unique_source_ips", "label"), cols)
+
+
+@query
+def anchored_windows_by_source(spark, sf):
+    """Every source as a capture of its own; packets without IP or of version 6 open no window."""
+    out = anchored_windows(event_packets(spark, sf), "src_ip", width=DAY, bucket_widths=10)
+    cols = ["connections_per_sec", "syn_rate", "avg_packet_size"]
+    stamp = F.unix_micros("ts").alias("ts_us")
+    return rounded(out.select("src_ip", stamp, *cols), cols)
 
 
 @query
@@ -350,7 +364,7 @@ def _daily_intervals(spark, sf):
 def interval_label(spark, sf):
     out = labels.label_by_intervals(
         windows(spark, sf).withColumn("end_ts", F.col("ts") + F.expr("INTERVAL 1 HOUR")),
-        _daily_intervals(spark, sf), "end_ts", "src_ip", HORIZONS, bucket_seconds=10 * DAY, salts=1,
+        _daily_intervals(spark, sf), "end_ts", "src_ip", HORIZONS, bucket_seconds=10 * DAY,
     )
     return out.select("src_ip", text(), "label")
 
@@ -360,7 +374,7 @@ def interval_label_network(spark, sf):
     """One interval list for all sources: the flows of the largest values."""
     big = F.col("orig_bytes") > 250
     spans = labels.attack_intervals(flows(spark, sf), [F.window("ts", "6 hours")], "ts", big)
-    out = labels.label_by_intervals(windows(spark, sf), spans.select("start", "end"), "ts", None, HORIZONS)
+    out = labels.label_by_intervals(windows(spark, sf), spans.select("start", "end"), "ts", None, HORIZONS, bucket_seconds=DAY)
     return out.groupBy("src_ip", "label").agg(F.count(F.lit(1)).alias("n"))
 
 
@@ -368,7 +382,7 @@ def interval_label_network(spark, sf):
 def boundary_exclusion(spark, sf):
     out = labels.clear_of_boundaries(
         windows(spark, sf), _daily_intervals(spark, sf), 1_800, "ts", "src_ip", HORIZONS,
-        bucket_seconds=10 * DAY, salts=1,
+        bucket_seconds=10 * DAY,
     )
     return out.select("src_ip", text())
 

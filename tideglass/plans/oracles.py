@@ -299,19 +299,38 @@ f AS (
     + ", ".join(f"coalesce(round(CAST({c} AS DOUBLE), 4), -1) AS {c}" for c in
                 ("avg_win_orig", "avg_win_resp", "iat_mean", "iat_max", "iat_var", "duration"))
     + " FROM f")
-ORACLES["anchored_windows_capture"] = """
-WITH RECURSIVE ev AS (
+CAPTURE = """ev AS (
   SELECT epoch_us(CAST(ts AS TIMESTAMP)) AS t, user_id, event_type,
-         CAST(regexp_extract(props, '[0-9]+') AS INTEGER) AS len FROM events),
+         CAST(regexp_extract(props, '[0-9]+') AS INTEGER) AS len FROM events
+  WHERE event_type <> 'signup' AND NOT (event_type = 'error' AND event_id % 7 = 0))"""
+ORACLES["anchored_windows_capture"] = f"""
+WITH RECURSIVE {CAPTURE},
 starts(s) AS (
   SELECT min(t) FROM ev
   UNION ALL
   SELECT min(ev.t) FROM starts JOIN ev ON ev.t >= starts.s + 3600000000 HAVING min(ev.t) IS NOT NULL),
-spans AS (SELECT s, lead(s) OVER (ORDER BY s) AS nxt FROM starts)
-SELECT s + 3600000000 AS ts_us, round(count(*) / 3600.0, 6) AS connections_per_sec,
-       round(sum(CASE WHEN event_type = 'click' THEN 1 ELSE 0 END) / 3600.0, 6) AS syn_rate,
-       round(avg(len), 6) AS avg_packet_size, count(DISTINCT user_id) AS unique_source_ips
-FROM spans JOIN ev ON ev.t >= s AND ev.t < nxt GROUP BY s"""
+spans AS (SELECT s, lead(s) OVER (ORDER BY s) AS nxt FROM starts),
+win AS (
+  SELECT s + 3600000000 AS ts_us, round(count(*) / 3600.0, 6) AS connections_per_sec,
+         round(sum(CASE WHEN event_type = 'click' THEN 1 ELSE 0 END) / 3600.0, 6) AS syn_rate,
+         round(avg(len), 6) AS avg_packet_size, count(DISTINCT user_id) AS unique_source_ips
+  FROM spans JOIN ev ON ev.t >= s AND ev.t < nxt GROUP BY s),
+iv AS (SELECT min(t) AS s, max(t) AS e FROM ev WHERE len > 98 GROUP BY t // 7200000000),
+timed AS (
+  SELECT win.*, bool_or(s <= ts_us AND ts_us <= e) AS inside, min(CASE WHEN s > ts_us THEN (s - ts_us) / 1e6 END) AS gap
+  FROM win LEFT JOIN iv ON true GROUP BY ALL)
+SELECT ts_us, connections_per_sec, syn_rate, avg_packet_size, unique_source_ips,
+       {HORIZON.format(active="inside", h=10800)} AS label FROM timed"""
+ORACLES["anchored_windows_by_source"] = f"""
+WITH RECURSIVE {CAPTURE},
+starts(u, s) AS (
+  SELECT user_id, min(t) FROM ev GROUP BY 1
+  UNION ALL
+  SELECT u, min(ev.t) FROM starts JOIN ev ON ev.user_id = u AND ev.t >= s + 86400000000 GROUP BY u),
+spans AS (SELECT u, s, lead(s) OVER (PARTITION BY u ORDER BY s) AS nxt FROM starts)
+SELECT CAST(u AS VARCHAR) AS src_ip, s + 86400000000 AS ts_us, round(count(*) / 86400.0, 6) AS connections_per_sec,
+       round(sum(CASE WHEN event_type = 'click' THEN 1 ELSE 0 END) / 86400.0, 6) AS syn_rate, round(avg(len), 6) AS avg_packet_size
+FROM spans JOIN ev ON user_id = u AND t >= s AND t < nxt GROUP BY u, s"""
 ORACLES["service_sets"] = with_(FLOWS, """
 SELECT src_ip, coalesce(string_agg(DISTINCT label, ',' ORDER BY label) FILTER (label <> 'view'), '-') AS services
 FROM flows GROUP BY 1""")

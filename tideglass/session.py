@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 # UTC keeps window edges and text times the same on every executor; AQE splits
 # skewed join partitions and coalesces small shuffle partitions at run time.
@@ -37,3 +37,10 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     if not root:
         root = f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/tideglass-scratch"
     return f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex[:12]}"
+
+
+def written_table(df: DataFrame, name: str) -> DataFrame:
+    """``df`` written to the shared folder and read back, so that it is computed once and survives lost executors."""
+    path = scratch_path(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
