@@ -184,12 +184,10 @@ def stratified_split(
     return marked.withColumn(out, part).drop("_test", "_both")
 
 
-def chronological_split(
-    df: DataFrame, ts: str = "ts", fraction: float = 0.8, accuracy: int = 10_000, out: str = "part"
-) -> DataFrame:
+def chronological_split(df: DataFrame, ts: str = "ts", fraction: float = 0.8, out: str = "part") -> DataFrame:
     """Earlier rows train, later rows test, cut at a quantile of time."""
     micros = df.select(F.unix_micros(ts).cast("double").alias("t"))
-    cut = exact_quantiles(micros, ["t"], [fraction], accuracy)["t"][0]
+    cut = exact_quantiles(micros, ["t"], [fraction])["t"][0]
     early = F.unix_micros(ts).cast("double") < F.lit(cut)
     return df.withColumn(out, F.when(early, "train").otherwise("test"))
 
