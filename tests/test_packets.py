@@ -5,8 +5,8 @@ import numpy as np
 import pytest
 
 from tideglass.operators.anchored import anchored_windows, chain_ends, compose, steps_of
-from tideglass.operators.packets import arrival_gaps, assemble_flows
-from tideglass.schemas import PACKETS
+from tideglass.operators.packets import arrival_gaps, assemble_flows, connection_flows
+from tideglass.schemas import FLOWS, PACKETS
 
 START = datetime(2017, 7, 5, 9, 0, 0)
 
@@ -144,3 +144,31 @@ def test_anchored_windows_with_horizon_label(spark):
     label = {(r.dst_ip, int((r.ts - START).total_seconds())): r.label for r in got}
     assert len(label) == 2 * 39 and {v for (d, _), v in label.items() if d == "y"} == {"NORMAL"}
     assert [label["x", s] for s in (140, 150, 170, 200, 210, 220)] == ["NEAR-TERM", "NEAR-TERM", "IMMINENT", "IMMINENT", "IMMINENT", "NORMAL"]
+
+
+def test_variance_of_nearly_equal_gaps(spark):
+    """Gaps of 1000 s that differ by microseconds: the difference of large squares would be noise."""
+    rng = np.random.default_rng(2)
+    times = np.cumsum(np.concatenate(([0], 1_000_000_000 + rng.integers(-5, 6, 400)))).astype("int64")
+    rows = [(START + timedelta(microseconds=int(t)), "u", "a", "b", True, 4, 1, 1, True, 0, 1, 1) for t in times]
+    got = arrival_gaps(spark.createDataFrame(rows, PACKETS), levels=(1, 3_600)).first()
+    gaps = np.diff(times) / 1e6
+    exact = float(np.var(np.diff(times) - 1_000_000_000) / 1e12)
+    assert got.iat_var == pytest.approx(exact, rel=1e-6) and got.iat_mean == pytest.approx(gaps.mean(), rel=1e-12)
+
+
+def test_connection_records(spark):
+    rows = [packet(0, flags=0x02, win=100), packet(2, src="b", dst="a", orig=False, win=30, flags=0x12), packet(1, uid="stray")]
+    head = "uid string, ts timestamp, src_ip string, src_port int, dst_ip string, dst_port int, proto string, service array<string>, duration double, orig_bytes long, resp_bytes long, orig_pkts long, resp_pkts long, history string, more int"
+    records = [
+        ("c", START, "a", 1, "b", 80, "tcp", ["ssl", "http"], 2.0, 500, 60, 4, 0, "ShADtT", 1),
+        ("quiet", START, "a", 2, "b", 53, "udp", [], None, None, None, 0, 0, None, 1),
+        (None, None, None, None, None, None, None, None, None, None, None, None, None, None, None),
+    ]
+    out = connection_flows(spark.createDataFrame(records, head), spark.createDataFrame(rows, PACKETS))
+    assert out.schema.names == FLOWS.names and [f.dataType for f in out.schema] == [f.dataType for f in FLOWS]
+    got = {r.uid: r for r in out.collect()}
+    c, quiet = got["c"], got["quiet"]
+    assert len(got) == 3 and (c.service, c.avg_win_orig, c.avg_win_resp, c.retrans_orig, c.retrans_resp) == ("http,ssl", 25.0, None, 1, 1)
+    assert (c.flag_syn, c.flag_ack, c.iat_mean, c.iat_var, c.min_ttl_orig, c.orig_bytes, c.resp_pkts) == (2, 1, 2.0, 0.0, 64, 500, 0)
+    assert (quiet.service, quiet.min_ttl_orig, quiet.avg_win_orig, quiet.flag_syn, quiet.iat_max, quiet.retrans_orig, quiet.frag_count) == ("-", None, None, 0, 0, 0, 0)

@@ -108,6 +108,29 @@ def packets(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def connections(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Orders as connection records."""
+    key = F.col("o_orderkey")
+    return table(spark, sf_dir, "orders").select(
+        key.alias("uid"),
+        F.col("o_orderdate").cast("timestamp").alias("ts"),
+        F.col("o_custkey").cast("string").alias("src_ip"),
+        (key % 60_000).cast("int").alias("src_port"),
+        (key % 251).cast("string").alias("dst_ip"),
+        (F.col("o_custkey") % 10 + 80).cast("int").alias("dst_port"),
+        F.when(F.col("o_orderstatus") == "P", "udp").otherwise("tcp").alias("proto"),
+        F.when(F.col("o_orderpriority") == "1-URGENT", F.array(F.lit("ssl"), F.lit("http")))
+        .when(F.col("o_orderpriority") == "2-HIGH", F.array(F.lit("dns")))
+        .when(F.col("o_orderpriority") == "5-LOW", F.array().cast("array<string>")).alias("service"),
+        F.when(key % 11 != 0, F.col("o_totalprice")).alias("duration"),
+        F.floor("o_totalprice").alias("orig_bytes"),
+        (key % 5_000).alias("resp_bytes"),
+        (F.col("o_custkey") % 4).alias("orig_pkts"),
+        (key % 3).alias("resp_pkts"),
+        F.when(F.col("o_orderstatus") == "F", "ShADtFf").when(F.col("o_orderstatus") == "O", "ShADadT").alias("history"),
+    )
+
+
 def event_packets(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Events as packets of one capture, with microsecond times."""
     ev = table(spark, sf_dir, "events")

@@ -14,7 +14,7 @@ from tideglass.functions.hashing import row_hash
 from tideglass.operators import forecast, labels, metrics, sampling, sequences
 from tideglass.operators.neighbours import knn_classify
 from tideglass.operators.anchored import anchored_windows
-from tideglass.operators.packets import assemble_flows
+from tideglass.operators.packets import assemble_flows, connection_flows
 from tideglass.operators.scaling import fit_robust_scaler
 from tideglass.operators.windows import (
     change_features,
@@ -31,6 +31,7 @@ from tideglass.plans.adapters import (
     HOUR,
     VECTOR,
     WINDOW_COLUMNS,
+    connections,
     event_packets,
     flows,
     net_windows,
@@ -42,6 +43,7 @@ from tideglass.plans.adapters import (
     vectors,
     windows,
 )
+from tideglass.schemas import FLOW_MEANS
 from tideglass.plans.jobs import materialise
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -181,6 +183,14 @@ def assemble_flows_from_packets(spark, sf):
     return rounded(out.select("uid", *ints, *floats), floats, 4)
 
 
+@query
+def connection_flow_records(spark, sf):
+    """The full flow record of every connection, with and without packets."""
+    out = connection_flows(connections(spark, sf), packets(spark, sf))
+    out = out.withColumn("iat_var", F.col("iat_var") / 1e9).fillna(-1.0, FLOW_MEANS)
+    return rounded(out.withColumn("ts", text()), FLOW_MEANS, 4)
+
+
 @query
 def anchored_windows_capture(spark, sf):
     """One capture; the windows carry the time to the next burst of large packets as risk class."""

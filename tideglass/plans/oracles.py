@@ -299,6 +299,38 @@ f AS (
     + ", ".join(f"coalesce(round(CAST({c} AS DOUBLE), 4), -1) AS {c}" for c in
                 ("avg_win_orig", "avg_win_resp", "iat_mean", "iat_max", "iat_var", "duration"))
     + " FROM f")
+_MEANS = [
+    "duration", "orig_bytes", "resp_bytes", "orig_pkts", "resp_pkts", *[t for t in _TTLS if "ttl" in t],
+    "avg_win_orig", "avg_win_resp", *[t for t in _TTLS if "payload" in t], "retrans_orig", "retrans_resp",
+]
+ORACLES["connection_flow_records"] = with_(PACKETS + f""",
+gaps AS (SELECT *, t - lag(t) OVER (PARTITION BY uid ORDER BY t) AS gap FROM packets),
+facts AS (
+  SELECT uid, {_SIDES.replace("orig_pkts", "_o").replace("resp_pkts", "_r").replace("avg_win", "_avg_win")}, {_FLAGS},
+         avg(gap) AS iat_mean, max(gap) AS iat_max, var_pop(gap) / 1e9 AS iat_var,
+         sum(CASE WHEN o AND tcp THEN win ELSE 0 END) AS wo, sum(CASE WHEN NOT o AND tcp THEN win ELSE 0 END) AS wr,
+         sum(CASE WHEN o THEN 1 ELSE 0 END) AS no, sum(CASE WHEN o THEN 0 ELSE 1 END) AS nr
+  FROM gaps GROUP BY uid),
+f AS (
+  SELECT CAST(o_orderkey AS VARCHAR) AS uid, strftime(o_orderdate, '%Y-%m-%d %H:%M:%S') AS ts,
+         CAST(o_custkey AS VARCHAR) AS src_ip, CAST(o_orderkey % 60000 AS INTEGER) AS src_port,
+         CAST(o_orderkey % 251 AS VARCHAR) AS dst_ip, CAST(o_custkey % 10 + 80 AS INTEGER) AS dst_port,
+         CASE o_orderstatus WHEN 'P' THEN 'udp' ELSE 'tcp' END AS proto,
+         CASE o_orderpriority WHEN '1-URGENT' THEN 'http,ssl' WHEN '2-HIGH' THEN 'dns' ELSE '-' END AS service,
+         CASE WHEN o_orderkey % 11 <> 0 THEN o_totalprice END AS duration, floor(o_totalprice) AS orig_bytes,
+         o_orderkey % 5000 AS resp_bytes, o_custkey % 4 AS orig_pkts, o_orderkey % 3 AS resp_pkts,
+         CASE WHEN no > 0 AND o_custkey % 4 > 0 THEN wo / (o_custkey % 4) END AS avg_win_orig,
+         CASE WHEN nr > 0 AND o_orderkey % 3 > 0 THEN wr / (o_orderkey % 3) END AS avg_win_resp,
+         CASE o_orderstatus WHEN 'F' THEN 1 ELSE 0 END AS retrans_orig,
+         CASE o_orderstatus WHEN 'O' THEN 1 ELSE 0 END AS retrans_resp,
+         facts.* EXCLUDE (uid)
+  FROM orders LEFT JOIN facts ON facts.uid = o_orderkey)""",
+    "SELECT uid, ts, src_ip, src_port, dst_ip, dst_port, proto, service, 0.0::DOUBLE AS frag_count, "
+    + ", ".join(
+        [f"coalesce(round(CAST({c} AS DOUBLE), 4), -1) AS {c}" for c in _MEANS]
+        + [f"coalesce(round(CAST({c} AS DOUBLE), 4), 0) AS {c}" for c in ("iat_mean", "iat_max", "iat_var", *[f"flag_{f}" for f in FLAG_BITS])]
+    )
+    + " FROM f")
 CAPTURE = """ev AS (
   SELECT epoch_us(CAST(ts AS TIMESTAMP)) AS t, user_id, event_type,
          CAST(regexp_extract(props, '[0-9]+') AS INTEGER) AS len FROM events
