@@ -633,6 +633,7 @@ closed AS (SELECT * FROM win)"""
 ORACLES["stream_windows"] = with_(CLOSED, f"""
 SELECT src_ip, {TS}, round(orig_bytes, 6) AS orig_bytes, round(resp_bytes, 6) AS resp_bytes,
        flow_count, distinct_ports FROM closed""")
+ORACLES["stream_windows_with_late"] = ORACLES["stream_windows"]
 ORACLES["stream_sliding_sequences"] = with_(CLOSED + """,
 spine AS (
   SELECT src_ip, unnest(generate_series(min(ts), max(ts), INTERVAL 1 HOUR)) AS ts FROM closed GROUP BY src_ip),
