@@ -625,6 +625,10 @@ best AS (SELECT *, row_number() OVER (PARTITION BY vec_id ORDER BY n DESC, label
                 min(nearest) OVER (PARTITION BY vec_id) AS near FROM votes)""", """
 SELECT vec_id, CAST(label AS BIGINT) AS pred, round(near, 6) AS nearest FROM best WHERE pick = 1""")
 
+# Properties that hold for every row, whatever the trees.
+ORACLES["tree_explain"] = "SELECT vec_id, true AS adds_up, 8 AS n_top FROM embeddings"
+ORACLES["ensemble_saved"] = "SELECT vec_id, true AS same FROM embeddings"
+
 # --- streams -----------------------------------------------------------------------
 
 # A closing row ends each stream, so all windows come out.
