@@ -6,11 +6,12 @@ tables would need. Two sets with similarity 0.75 agree in 9 of the 16 collection
 a chance of 4e-5, far less above.
 
 Equal sets are one class from the start. Half keys that one class alone has make no table keys. In a table, members of
-a bucket are compared with a member drawn by hash, not with each other; classes that link are joined, and buckets that
-still hold several components are compared again with other members, all pairs across components where the bucket is
-small, until no link comes anymore or ``ROUNDS`` are over. What large buckets then still hold in several components is
-decided exactly: rows that such buckets hold together make a cluster, and the full sets of each cluster are compared
-across components, block by block. Every link is confirmed on the full sets.
+a bucket are compared with one representative, drawn by a hash of the row alone, so that the buckets of a group mostly
+have the same one; that joins what is alike in few comparisons. Buckets that then hold one component are done. Rows of
+large buckets with several components make clusters, and the full sets of each cluster are compared across components,
+block by block. Of the other buckets with several components, those of few rows, all pairs across components are
+compared that no cluster has seen. So every pair that meets in a bucket is in one component or was compared, and every
+link is confirmed on the full sets.
 """
 
 from __future__ import annotations
@@ -31,12 +32,6 @@ HALVES = 16
 ROWS = 2
 #: In buckets of so many rows at most, all pairs across components are compared.
 SMALL_BUCKET = 24
-#: Rows of each bucket that the first round compares all others with.
-HEADS = 2
-#: Rows of a bucket's largest component that each later round compares the rest with; a row is in dozens of buckets.
-MEMBERS = 1
-#: Rounds of drawn comparisons at most, two at least; they only spare work for the exact rest.
-ROUNDS = 6
 #: Rows of a block of the exact rest, on average, and columns of its tables.
 BLOCK_ROWS, BLOCK_COLUMNS = 256, 16_384
 _SEEDS = mixed(np.arange(1, HALVES * ROWS + 1, dtype=np.uint64) * np.uint64(0xD1342543DE82EF95))
@@ -98,13 +93,13 @@ def _confirm(percent: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             hits = []
-            for x, y in zip(batch.column("x").to_pylist(), batch.column("y").to_pylist(), strict=True):
-                x, y = np.frombuffer(x, "<u8"), np.frombuffer(y, "<u8")
+            for x, y in zip(batch.column("x"), batch.column("y"), strict=True):
+                x, y = (np.frombuffer(v.as_buffer(), "<u8") for v in (x, y))  # in place: a batch may be large
                 both = np.sort(np.concatenate((x, y)))
                 shared = int((both[1:] == both[:-1]).sum())
                 hits.append(100 * shared >= percent * (len(x) + len(y) - shared))
-            keep = batch.filter(pa.array(hits, pa.bool_()))
-            yield pa.record_batch([keep.column("a"), keep.column("b")], ["a", "b"])
+            keep = batch.select(["a", "b"]).filter(pa.array(hits, pa.bool_()))
+            yield pa.record_batch(keep.columns, ["a", "b"])
 
     return run
 
@@ -113,37 +108,32 @@ def _pair(one: str, two: str):
     return F.least(one, two).alias("a"), F.greatest(one, two).alias("b")
 
 
-def _first_pairs(rows: DataFrame, bag: list[str]) -> DataFrame:
-    """Pairs ``a, b`` of ``HEADS`` drawn rows of each bucket with all others in it.
+def _representative_pairs(buckets: DataFrame, bag: list[str]) -> DataFrame:
+    """Pairs ``a, b`` of each row with the representatives of its buckets."""
+    drawn = F.min(F.struct(F.xxhash64("id", F.lit(0)).alias("h"), "id"))["id"].alias("head")
+    heads = kept_table(buckets.groupBy("bucket").agg(drawn), "heads", bag)
+    return buckets.join(heads, "bucket").where("id <> head").select(*_pair("id", "head")).distinct()
 
-    They are drawn by hashes of the row alone, so buckets of one group draw the same rows and make equal pairs.
-    """
-    drawn = [F.min(F.struct(F.xxhash64("id", F.lit(k)).alias("h"), "id"))["id"].alias(f"head{k}") for k in range(HEADS)]
-    heads = kept_table(rows.groupBy("bucket").agg(*drawn), "heads", bag)
-    met = rows.join(heads, "bucket").select("id", F.explode(F.array(*[f"head{k}" for k in range(HEADS)])).alias("head"))
-    return met.where("id <> head").select(*_pair("id", "head")).distinct()
-
-
-def _more_pairs(rows: DataFrame, step: int, bag: list[str]) -> DataFrame:
-    """Pairs across components: of buckets with several, all rows outside the largest one with ``MEMBERS`` drawn rows
-    of that, and with one drawn row outside it."""
-    drawn = [F.min(F.struct(F.xxhash64("id", F.lit(step), F.lit(k)).alias("h"), "id"))["id"].alias(f"m{k}") for k in range(MEMBERS)]
-    kinds = rows.groupBy("bucket", "comp").agg(F.count("*").alias("n"), *drawn)
-    whole = F.struct("comp", F.array(*[f"m{k}" for k in range(MEMBERS)]).alias("heads"))
-    large = kinds.groupBy("bucket").agg(F.max_by(whole, F.struct("n", "comp")).alias("large"), F.count("*").alias("kinds")).where("kinds > 1")
-    rest = kept_table(rows.join(kept_table(large, "large", bag), "bucket").where("comp <> large.comp").select("bucket", "id", "comp", "large.heads"), "rest", bag)
-    out = rest.select("id", F.explode("heads").alias("head")).select(*_pair("id", "head")) if MEMBERS > 1 else rest.select("id", F.col("heads")[0].alias("head")).select(*_pair("id", "head"))
-    lead = rest.groupBy("bucket").agg(F.min(F.struct(F.xxhash64("id", F.lit(-step)).alias("h"), "id", "comp")).alias("lead"))
-    among = rest.join(lead, "bucket").where("comp <> lead.comp").select(*_pair("id", "lead.id"))
-    return out.unionByName(among).distinct()
-
-
-def _small_pairs(rows: DataFrame) -> DataFrame:
-    """All pairs across components in buckets of few rows."""
-    small = rows.groupBy("bucket").agg(F.count("*").alias("n"), F.min("comp").alias("c0"), F.max("comp").alias("c1")).where((F.col("n") <= SMALL_BUCKET) & (F.col("c0") != F.col("c1"))).select("bucket")
-    few = rows.join(small, "bucket", "left_semi")
-    other = few.select("bucket", F.col("id").alias("id2"), F.col("comp").alias("comp2"))
-    return few.join(other, "bucket").where((F.col("id") < F.col("id2")) & (F.col("comp") != F.col("comp2"))).select(F.col("id").alias("a"), F.col("id2").alias("b")).distinct()
+
+def _clusters(mixed: DataFrame, bag: list[str]) -> DataFrame:
+    """``id, comp, cluster`` of rows in large buckets with several components; such buckets join their rows."""
+    large = mixed.where(F.col("n") > SMALL_BUCKET)
+    least = large.groupBy("bucket").agg(F.min("id").alias("a"))
+    left = kept_table(large.join(least, "bucket").select("id", "comp", "a").distinct(), "left", bag)
+    cluster = components(left.select("a", F.col("id").alias("b")))
+    return kept_table(left.select("id", "comp").distinct().join(cluster.toDF("id", "cluster"), "id"), "clusters", bag)
+
+
+def _small_pairs(mixed: DataFrame, clusters: DataFrame) -> DataFrame:
+    """All pairs across components in the other buckets with several, but those that one cluster holds."""
+    few = mixed.where(F.col("n") <= SMALL_BUCKET).select("bucket", "id", "comp").join(clusters.select("id", "cluster"), "id", "left")
+    few = few.withColumn("place", F.coalesce("cluster", "id"))
+    open_ = few.groupBy("bucket").agg(F.min("place").alias("p0"), F.max("place").alias("p1")).where("p0 <> p1").select("bucket")
+    rows = F.sort_array(F.collect_list(F.struct("id", "comp", "place")))
+    group = few.join(open_, "bucket", "left_semi").groupBy("bucket").agg(rows.alias("rows"))  # SMALL_BUCKET rows at most
+    one = group.select("rows", F.posexplode("rows").alias("at", "x"))
+    two = one.select("x", F.explode(F.expr("filter(rows, (r, i) -> i > at and r.comp <> x.comp and r.place <> x.place)")).alias("y"))
+    return two.select(F.col("x.id").alias("a"), F.col("y.id").alias("b")).distinct()
 
 
 def _linked_blocks(percent: int):
@@ -190,15 +180,6 @@ def _linked_blocks(percent: int):
     return run
 
 
-def _clusters(buckets: DataFrame, roots: DataFrame, bag: list[str]) -> DataFrame:
-    """``id, comp, cluster`` of rows in large buckets that hold several components; such buckets join their rows."""
-    rows = buckets.join(roots, "id", "left").select("bucket", "id", F.coalesce("root", "id").alias("comp"))
-    large = rows.groupBy("bucket").agg(F.count("*").alias("n"), F.min("comp").alias("c0"), F.max("comp").alias("c1"), F.min("id").alias("a")).where((F.col("n") > SMALL_BUCKET) & (F.col("c0") != F.col("c1")))
-    left = kept_table(rows.join(large.select("bucket", "a"), "bucket").select("id", "comp", "a").distinct(), "left", bag)
-    cluster = components(left.select("a", F.col("id").alias("b")))
-    return kept_table(left.select("id", "comp").distinct().join(cluster.toDF("id", "cluster"), "id"), "clusters", bag)
-
-
 def _rest_links(rows: DataFrame, percent: int, bag: list[str]) -> DataFrame:
     """Links ``a, b`` across components among ``rows`` (``id, comp, cluster, n, members``), all pairs of a cluster."""
     # Sets that can be similar enough are in the same band of sizes or in neighbouring ones.
@@ -253,50 +234,36 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         texts = maybe_in(docs, F.col("doc_id"), of, "doc_id").join(of.withColumnRenamed("doc_id", "least"), F.col("doc_id").eqNullSafe(F.col("least"))).select("set_key", "text")
         return texts.mapInArrow(_sets(size), "set_key binary, members binary").where("members is not null").dropDuplicates(["set_key"])
 
-    tested, roots, sets = None, None, None
-    step = 0
-    while step < ROUNDS:
-        step += 1
-        if roots is None:
-            pairs = _first_pairs(buckets, bag)
-        else:
-            rows = kept_table(buckets.join(roots, "id", "left").select("bucket", "id", F.coalesce("root", "id").alias("comp")), "rows", bag)
-            pairs = _more_pairs(rows, step, bag)
-            if step == 2:
-                pairs = pairs.unionByName(_small_pairs(rows)).distinct()
-        if tested is not None:
-            pairs = pairs.join(tested, ["a", "b"], "left_anti")
-        pairs = kept_table(pairs, f"pairs{step}", bag)
+    def near(pairs: DataFrame) -> DataFrame:
         sized = pairs.join(side.toDF("a", "n", "p"), "a").join(side.toDF("b", "m", "q"), "b")
         # Sets at the threshold agree in 24 of 32 MinHashes on average, and in fewer than 11 with a chance of 1e-7.
-        near = kept_table(sized.where((100 * F.least("n", "m") >= percent * F.greatest("n", "m")) & (agree >= 11)).select("a", "b"), f"near{step}", bag)
-        wanted = near.select(F.col("a").alias("set_key")).union(near.select("b")).distinct()
-        if sets is not None:
-            wanted = wanted.join(sets.select("set_key"), "set_key", "left_anti")
-        of = wanted.join(classes, "set_key").select(F.col("least").alias("doc_id"), "set_key")
-        more = full_sets(of)
-        if sets is None or not near.isEmpty():
-            more = kept_table(more, f"sets{step}", bag)
-            sets = more if sets is None else sets.unionByName(more)
-        full = near.join(sets.toDF("a", "x"), "a").join(sets.toDF("b", "y"), "b")
-        new = kept_table(full.mapInArrow(_confirm(percent), "a binary, b binary"), f"confirmed{step}", bag)
-        none = new.isEmpty()
-        if none and step > 1:
-            break  # nothing that the buckets still offer links
-        tested = pairs if tested is None else tested.unionByName(pairs)
-        # Links between what is one component already add nothing; the rest is a small graph.
-        if roots is None:
-            roots = components(new)
-        else:
-            roots = _merged(roots, new, f"roots{step}")
-    left = _clusters(buckets, roots, bag)
-    if not left.isEmpty():
-        of = left.join(classes.withColumnRenamed("set_key", "id"), "id").select(F.col("least").alias("doc_id"), F.col("id").alias("set_key"))
-        full = kept_table(full_sets(of), "full", bag).withColumnRenamed("set_key", "id")
-        rows = left.join(full, "id").withColumn("n", F.length("members") / 8)
-        new = kept_table(_rest_links(rows, percent, bag), "rest_links", bag)
+        return sized.where((100 * F.least("n", "m") >= percent * F.greatest("n", "m")) & (agree >= 11)).select("a", "b")
+
+    def confirmed(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+        full = pairs.join(sets.toDF("a", "x"), "a").join(sets.toDF("b", "y"), "b")
+        return full.mapInArrow(_confirm(percent), "a binary, b binary")
+
+    def ends(pairs: DataFrame) -> DataFrame:
+        return pairs.select(F.col("a").alias("set_key")).union(pairs.select("b")).distinct()
+
+    def named_texts(keys: DataFrame) -> DataFrame:
+        return keys.join(classes, "set_key").select(F.col("least").alias("doc_id"), "set_key")
+
+    first = kept_table(near(_representative_pairs(buckets, bag)), "near", bag)
+    sets = kept_table(full_sets(named_texts(ends(first))), "sets", bag)
+    roots = components(kept_table(confirmed(first, sets), "confirmed", bag))
+    rows = buckets.join(roots, "id", "left").select("bucket", "id", F.coalesce("root", "id").alias("comp"))
+    kinds = rows.groupBy("bucket").agg(F.count("*").alias("n"), F.min("comp").alias("c0"), F.max("comp").alias("c1")).where("c0 <> c1").select("bucket", "n")
+    mixed = kept_table(rows.join(kinds, "bucket"), "mixed", bag)
+    if not mixed.isEmpty():
+        clusters = _clusters(mixed, bag)
+        second = kept_table(near(_small_pairs(mixed, clusters)), "near2", bag)
+        wanted = ends(second).union(clusters.select("id")).distinct().join(sets.select("set_key"), "set_key", "left_anti")
+        sets = sets.unionByName(kept_table(full_sets(named_texts(wanted)), "sets2", bag))
+        members = clusters.join(sets.withColumnRenamed("set_key", "id"), "id").withColumn("n", F.length("members") / 8)
+        new = kept_table(confirmed(second, sets).unionByName(_rest_links(members, percent, bag)), "links2", bag)
         if not new.isEmpty():
-            roots = _merged(roots, new, "roots_rest")
+            roots = _merged(roots, new, "roots2")
     discard(docs.sparkSession, bag)
     named = classes.join(roots.withColumnRenamed("id", "set_key"), "set_key", "left").withColumn("root", F.coalesce("root", "set_key"))
     least = named.groupBy("root").agg(F.min("least").alias("component_id"))
