@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from tideglass.llm.common import kept_table
 from tideglass.llm.decontamination import decontaminate
-from tideglass.llm.near_duplicates import near_duplicates
+from tideglass.llm.near_duplicates import unique_documents
 from tideglass.llm.packing import document_pieces, pack
 from tideglass.llm.substring_dedup import without_repeats
 from tideglass.llm.toxicity import THRESHOLD, fit_toxicity, score_toxicity
@@ -24,13 +24,8 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group: the one with the least id. Of rows with one id one stays; null ids all stay."""
-    kept = near_duplicates(docs).where("kept and doc_id is not null").select(F.col("doc_id").alias("kept_id")).distinct()
-    named = docs.where("doc_id is not null").join(kept, F.col("doc_id") == F.col("kept_id"), "left_semi")
-    # Ids are unique in sound tables; a repeated one keeps the row whose text hashes least.
-    several = named.groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1").select("doc_id")
-    one = named.join(several, "doc_id", "left_semi").withColumn("rank", F.xxhash64("text")).groupBy("doc_id").agg(F.min_by(F.struct(*docs.columns), F.struct("rank", *[c for c in docs.columns if c != "doc_id"])).alias("row")).select("row.*")
-    return named.join(several, "doc_id", "left_anti").select(*docs.columns).unionByName(one).unionByName(docs.where("doc_id is null"))
+    """One document of each group: the one with the least id, null ids last; documents without words all stay."""
+    return unique_documents(docs)
 
 
 def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -17,9 +17,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tideglass.llm.common import kept_table, text_blocks
-from tideglass.llm.words import shingles, split_words
+from tideglass.llm.words import Words, shingles, split_words
 
-#: Words of a seed. An item with fewer words has its whole sequence as its one seed.
+#: Words of a seed. An item with fewer words has its whole sequence as its one seed, which is looked up at its own size.
 SEED_WORDS = 3
 #: Bits of the table that all tasks hold (1 MiB), whatever the size of the benchmark.
 TABLE_BITS = 23
@@ -63,14 +63,37 @@ def best_alignment(item: np.ndarray, passage: np.ndarray) -> tuple[int, int, int
     return best, *where
 
 
-def _passages(bits: np.ndarray, reach: int):
+def _found(words: Words, bits: np.ndarray, short: list[int]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Text, word in the text and hash of every n-gram that the bit table may hold, of ``SEED_WORDS`` or ``short`` words."""
+    parts = []
+    for size in (SEED_WORDS, *short):
+        values, first = shingles(words, size)
+        if size < SEED_WORDS:  # as the seed of an item that has no more words
+            values, first = whole_sequences(words, size)
+        slot = values >> _BITS
+        hits = np.flatnonzero((bits[slot >> np.uint64(3)] >> (slot & np.uint64(7)).astype(np.uint8)) & 1)
+        docs = np.searchsorted(first, hits, side="right") - 1
+        parts.append((docs, hits - first[docs], values[hits]))
+    docs, at, values = (np.concatenate(x) for x in zip(*parts, strict=True))
+    order = np.lexsort((at, docs))
+    return docs[order], at[order], values[order]
+
+
+def whole_sequences(words: Words, size: int) -> tuple[np.ndarray, np.ndarray]:
+    """Every run of ``size`` words as the hash that a text of just these words has, and where those of each text begin."""
+    own = np.maximum(np.diff(words.first) - size + 1, 0)
+    first = np.concatenate(([0], np.cumsum(own)))
+    start = np.arange(first[-1]) + np.repeat(words.first[:-1] - first[:-1], own)
+    picked = (start[:, None] + np.arange(size)).ravel()
+    runs = Words(words.hashes[picked], words.starts[picked], words.ends[picked], np.arange(0, len(picked) + 1, size))
+    return shingles(runs, SEED_WORDS)[0], first
+
+
+def _passages(bits: np.ndarray, reach: int, short: list[int]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in text_blocks(batches, "text"):
             words = split_words(batch.column("text"))
-            values, first = shingles(words, SEED_WORDS)
-            slot = values >> _BITS
-            hits = np.flatnonzero((bits[slot >> np.uint64(3)] >> (slot & np.uint64(7)).astype(np.uint8)) & 1)
-            docs = np.searchsorted(first, hits, side="right") - 1
+            docs, hits, values = _found(words, bits, short)
             ids = batch.column("doc_id")
             out: list[tuple] = []
             # Hits of a text that lie close together make one passage.
@@ -78,9 +101,9 @@ def _passages(bits: np.ndarray, reach: int):
             for a, b in zip(cuts, [*cuts[1:], len(hits)][: len(cuts)], strict=True):
                 d = int(docs[a])
                 w0, w1 = words.first[d], words.first[d + 1]
-                lo = max(w0, w0 + hits[a] - first[d] - reach)
-                hi = min(w1, w0 + hits[b - 1] - first[d] + SEED_WORDS + reach)
-                out.append((ids[d].as_py(), int(words.starts[lo]), np.unique(values[hits[a:b]].view(np.int64)), words.hashes[lo:hi].view(np.int64), words.starts[lo:hi], words.ends[lo:hi]))
+                lo = max(w0, w0 + hits[a] - reach)
+                hi = min(w1, w0 + hits[b - 1] + SEED_WORDS + reach)
+                out.append((ids[d].as_py(), int(words.starts[lo]), np.unique(values[a:b].view(np.int64)), words.hashes[lo:hi].view(np.int64), words.starts[lo:hi], words.ends[lo:hi]))
             cols = list(zip(*out, strict=True)) if out else [[]] * 6
             kinds = [pa.int64(), pa.int64(), *[pa.list_(pa.int64())] * 4]
             yield pa.record_batch([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], ["doc_id", "at", "seeds", "words", "starts", "ends"])
@@ -132,7 +155,8 @@ def leaks(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: s
         table[row.word] = row.bits
     reach = every.agg(F.max(F.size("words"))).first()[0] or 0
     shared = table.view(np.uint8)
-    found = docs.mapInArrow(_passages(shared, reach), "doc_id long, at long, seeds array<long>, words array<long>, starts array<long>, ends array<long>")
+    short = [r.n for r in every.select(F.size("words").alias("n")).where(F.col("n") < SEED_WORDS).distinct().collect()]  # below SEED_WORDS
+    found = docs.mapInArrow(_passages(shared, reach, sorted(short)), "doc_id long, at long, seeds array<long>, words array<long>, starts array<long>, ends array<long>")
     passages = kept_table(found.withColumn("print", F.xxhash64("words")), "passages")
     hits = passages.select("doc_id", "at", "print", F.explode("seeds").alias("seed"))
     df = hits.groupBy("seed").agg(F.count("*").alias("df"))
@@ -148,7 +172,11 @@ def leaks(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: s
     return best.join(every.select("key", "item_id"), "key").select("doc_id", "item_id", "score", "start", "end")
 
 
-def decontaminate(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", leak: float = LEAK) -> DataFrame:
-    """The rows of ``docs`` that hold no copy of a test item; all columns stay, rows with a null id too unless they do."""
-    hit = leaks(docs, items, id_col, text_col, leak=leak).select(F.col("doc_id").alias("leaking_id")).distinct()
-    return docs.join(hit, F.col(id_col).cast("long").eqNullSafe(F.col("leaking_id")), "left_anti")
+def decontaminate(docs: DataFrame, items: DataFrame, text_col: str = "text", leak: float = LEAK) -> DataFrame:
+    """The rows of ``docs`` that hold no copy of a test item; all columns stay, whatever their names.
+
+    Whether a row leaks depends on its text alone, so rows go by a 64-bit hash of it, never by their ids.
+    """
+    key = F.xxhash64(text_col)
+    hit = leaks(docs.select(key.alias("key"), F.col(text_col).alias("text")), items, "key", "text", leak=leak).select(F.col("doc_id").alias("key")).distinct()
+    return docs.select(F.struct(*docs.columns).alias("row"), key.alias("key")).join(hit, "key", "left_anti").select("row.*")

@@ -73,7 +73,8 @@ def _prints(size: int):
                 own = signatures(values, np.concatenate((first[full], first[-1:])))
                 for d, row in zip(full, own, strict=True):
                     marks[d], keys[d] = row.tobytes(), _set_key(sets[d])
-            yield pa.record_batch([batch.column("doc_id"), pa.array([len(s) for s in sets], pa.int64()), pa.array(keys, pa.binary()), pa.array(marks, pa.binary())], ["doc_id", "n_shingles", "set_key", "marks"])
+            kept = batch.drop_columns(["text"])
+            yield pa.record_batch([*kept.columns, pa.array([len(s) for s in sets], pa.int64()), pa.array(keys, pa.binary()), pa.array(marks, pa.binary())], [*kept.schema.names, "n_shingles", "set_key", "marks"])
 
     return run
 
@@ -205,16 +206,12 @@ def _merged(roots: DataFrame, new: DataFrame, name: str) -> DataFrame:
     return kept_table(old.unionByName(merged.join(roots.select("id"), "id", "left_anti").select("id", "root")), name)
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 5, percent: int = 75) -> DataFrame:
-    """``doc_id, n_shingles, component_id, kept`` for every row of ``docs``.
-
-    Links: 100 * shared shingles >= ``percent`` * all shingles of both. A text without words (or null) has an empty
-    set and links with nothing. Repeated rows come out repeatedly, with the same component. A null id takes part and
-    gets the least id that is not null of its component. Other columns are ignored. An empty table gives an empty one.
-    """
-    docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
+def _components(docs: DataFrame, size: int, percent: int) -> tuple[DataFrame, DataFrame]:
+    """Rows of ``docs (doc_id, text, ...)`` without text but with ``n_shingles`` and ``set_key``, and ``set_key, root,
+    component_id`` of every set."""
     bag: list[str] = []
-    prints = kept_table(docs.mapInArrow(_prints(size), "doc_id long, n_shingles long, set_key binary, marks binary"), "prints")
+    kinds = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in docs.schema if f.name != "text")
+    prints = kept_table(docs.mapInArrow(_prints(size), f"{kinds}, n_shingles long, set_key binary, marks binary"), "prints")
     classes = kept_table(
         prints.where("set_key is not null").groupBy("set_key").agg(F.min("doc_id").alias("least"), F.max("n_shingles").alias("n"), F.min("marks").alias("marks")), "classes"
     )
@@ -267,7 +264,39 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     discard(docs.sparkSession, bag)
     named = classes.join(roots.withColumnRenamed("id", "set_key"), "set_key", "left").withColumn("root", F.coalesce("root", "set_key"))
     least = named.groupBy("root").agg(F.min("least").alias("component_id"))
-    found = named.join(least, "root").select("set_key", "component_id")
-    out = prints.select("doc_id", "n_shingles", "set_key").join(found, "set_key", "left")
+    return prints.drop("marks"), named.join(least, "root").select("set_key", "root", "component_id")
+
+
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 5, percent: int = 75) -> DataFrame:
+    """``doc_id, n_shingles, component_id, kept`` for every row of ``docs``.
+
+    Links: 100 * shared shingles >= ``percent`` * all shingles of both. A text without words (or null) has an empty
+    set and links with nothing. Repeated rows come out repeatedly, with the same component. A null id takes part and
+    gets the least id that is not null of its component. Other columns are ignored. An empty table gives an empty one.
+    """
+    rows, found = _components(docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")), size, percent)
+    out = rows.join(found, "set_key", "left")
     component = F.coalesce("component_id", "doc_id")
     return out.select("doc_id", "n_shingles", component.alias("component_id"), F.col("doc_id").eqNullSafe(component).alias("kept"))
+
+
+def unique_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 5, percent: int = 75) -> DataFrame:
+    """One row of every component of near-duplicates, with all columns of ``docs`` as they are.
+
+    Rows count by id and content, so rows that share an id, null included, are rows of their own. Of a component the
+    row with the least id stays, null ids last; of several with that id the one whose content hashes least. Rows with
+    an empty set of shingles all stay. Columns may have any name.
+    """
+    others = [F.col(c).cast("string") for c in docs.columns if c != text_col]
+    mark = F.concat(F.md5(F.coalesce(F.col(text_col), F.lit(""))), F.hex(F.xxhash64(*others)))
+    own = F.col(id_col).cast("long")
+    rows, found = _components(docs.select(own.alias("doc_id"), mark.alias("mark"), F.col(text_col).alias("text")), size, percent)
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "mark")).alias("first")
+    named = rows.where("set_key is not null").join(found.select("set_key", "root"), "set_key")
+    stay = named.groupBy("root").agg(first).select("first.doc_id", "first.mark", F.lit(False).alias("empty"))
+    stay = stay.unionByName(rows.where("set_key is null").select("doc_id", "mark", F.lit(True).alias("empty")).distinct())
+    packed = docs.select(F.struct(*docs.columns).alias("row"), own.alias("own_id"), mark.alias("own_mark"))
+    kept = packed.join(stay, F.col("own_id").eqNullSafe(F.col("doc_id")) & (F.col("own_mark") == F.col("mark")))
+    # Rows equal in all columns are one row here.
+    one = kept.where(~F.col("empty")).dropDuplicates(["own_id", "own_mark"])
+    return one.unionByName(kept.where("empty")).select("row.*")

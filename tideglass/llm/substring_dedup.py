@@ -233,7 +233,9 @@ def with_repeats(docs: DataFrame, text_col: str = "text", window: int = WINDOW)
     all_spans = kept_table(all_spans, "spans")
     discard(docs.sparkSession, bag)
     none = F.array().cast("array<struct<start:bigint,end:bigint>>")
-    return docs.drop("spans").join(all_spans, key == F.col("own_key"), "left").withColumn("spans", F.coalesce("own_spans", none)).drop("own_key", "own_spans")
+    # In a struct, columns of any name stay apart from those of the join.
+    packed = docs.drop("spans").select(F.struct("*").alias("row"), key.alias("own_key"))
+    return packed.join(all_spans, "own_key", "left").select("row.*", F.coalesce("own_spans", none).alias("spans"))
 
 
 def _digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
