@@ -103,3 +103,11 @@ def test_shuffle_is_reproducible(rows):
     a = [r.id for r in S.shuffle_rows(rows).limit(20).collect()]
     assert a == [r.id for r in S.shuffle_rows(rows.repartition(5)).limit(20).collect()]
     assert a != sorted(a)
+
+
+def test_rank_of_a_shuffled_order(spark):
+    df = spark.range(3_000).selectExpr("cast(id as string) id", "1 as rank").repartition(7)
+    want = [r.id for r in S.shuffle_rows(df, 7).collect()]
+    got = sorted((r.place, r.id) for r in S.shuffle_rank(df, 7, out="place").collect())
+    assert [p for p, _ in got] == list(range(1, 3_001)) and [i for _, i in got] == want
+    assert S.shuffle_rank(df.limit(0)).count() == 0

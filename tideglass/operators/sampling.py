@@ -16,13 +16,16 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tideglass.dimensions import RISK_CLASSES
-from tideglass.functions.hashing import below, row_hash
+from tideglass.functions.hashing import SPACE, below, row_hash
 from tideglass.functions.scalar import drop_columns, lookup
 from tideglass.operators.joins import null_safe_join
 from tideglass.operators.scaling import exact_quantiles
 from tideglass.operators.sequences import drop_silent
+from tideglass.operators.timeline import offsets
 
 PREFIX_BITS = 16
+#: Ranges of the hash whose rows are numbered apart.
+RANK_PARTS = 4_096
 
 
 def class_counts(df: DataFrame, label: str) -> DataFrame:
@@ -214,6 +217,20 @@ def shuffle_rows(df: DataFrame, seed=42, row_id: str = "id") -> DataFrame:
     return df.orderBy(row_hash(seed, row_id), row_id)
 
 
+def shuffle_rank(df: DataFrame, seed=42, row_id: str = "id", out: str = "rank") -> DataFrame:
+    """Adds the place, from 1, that a row has in the order of ``shuffle_rows``.
+
+    No task sorts all rows: the hash is cut into ``RANK_PARTS`` even ranges, a small table counts the rows of the earlier
+    ones, and rows are numbered inside their range. Rows with equal ids get different places in no fixed order.
+    """
+    numbered = df.withColumn("_hash", row_hash(seed, row_id)).withColumn("_range", F.floor(F.col("_hash") / F.lit(SPACE // RANK_PARTS)))
+    before = offsets(numbered.groupBy("_range").agg(F.count(F.lit(1)).alias("_n")), [], "_range", "_n", "_before").drop("_n")
+    inside = Window.partitionBy("_range").orderBy("_hash", row_id)
+    # At most RANK_PARTS rows of two numbers.
+    placed = numbered.withColumn("_rn", F.row_number().over(inside)).join(F.broadcast(before), "_range")
+    return placed.withColumn(out, F.col("_rn") + F.col("_before")).drop("_hash", "_range", "_rn", "_before")
+
+
 def with_row_key(df: DataFrame, cols: Sequence[str], out: str = "id") -> DataFrame:
     """A text id from the columns that identify a row."""
     return df.withColumn(out, F.concat_ws("|", *[F.col(c).cast("string") for c in cols]))

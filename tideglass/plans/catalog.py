@@ -22,6 +22,7 @@ from tideglass.operators.windows import (
     risk_features,
     traffic_mix,
     trend_features,
+    window_features,
 )
 from tideglass.plans.adapters import (
     BUCKET,
@@ -78,6 +79,23 @@ def win_features_dense_only(spark, sf):
     return rounded(out.select("src_ip", text(), *WINDOW_COLUMNS), ["orig_bytes", "resp_bytes"])
 
 
+@query
+def win_features_without_key(spark, sf):
+    """All flows as one series, gaps filled."""
+    means = ["orig_bytes", "resp_bytes"]
+    out = window_features(flows(spark, sf), None, width=HOUR, means=means, port_name="distinct_ports", bucket_seconds=BUCKET)
+    return rounded(out.select(text(), *WINDOW_COLUMNS), means)
+
+
+@query
+def win_features_null_key(spark, sf):
+    """Flows without a source are left out."""
+    means = ["orig_bytes", "resp_bytes"]
+    some = flows(spark, sf).withColumn("src_ip", F.when(F.col("src_ip").cast("int") % 10 != 0, F.col("src_ip")))
+    out = window_features(some, width=HOUR, means=means, port_name="distinct_ports", gap_fill=False, bucket_seconds=BUCKET)
+    return rounded(out.select("src_ip", text(), *WINDOW_COLUMNS), means)
+
+
 NET = [
     "connections_per_sec", "syn_rate", "avg_packet_size", "flow_duration_mean",
     "fwd_packets_sum", "bwd_packets_sum", "flow_packets_s_mean", "attack_active",
@@ -523,7 +541,7 @@ def chronological_split(spark, sf):
 @query
 def shuffled_order(spark, sf):
     docs = table(spark, sf, "documents").select("doc_id", row_hash(42, "doc_id").alias("h"))
-    return sampling.shuffle_rows(docs, 42, "doc_id")
+    return sampling.shuffle_rank(docs, 42, "doc_id")
 
 
 @query
@@ -746,7 +764,7 @@ def percent_weights(spark, sf):
 @query
 def ovr_vote(spark, sf):
     rows = scored_vectors(spark, sf)
-    vote = P.ovr_vote([F.col("probs")[i] * 3 for i in range(3)], ["ELEVATED", "NEAR-TERM", "IMMINENT"])
+    vote = P.ovr_vote([F.col("probs")[i] * 3 for i in range(10)], [f"c{i}" for i in range(10)])
     return rows.select("vec_id", vote.alias("pred"))
 
 

@@ -223,6 +223,19 @@ SELECT src_ip, {TS}, round(orig_bytes, 6) AS orig_bytes, round(resp_bytes, 6) AS
        flow_count, distinct_ports FROM win""")
 
 
+_ALL = """,
+one AS (SELECT date_trunc('hour', ts) AS ts, avg(orig_bytes) AS orig_bytes, avg(k) AS resp_bytes,
+               count(uid) AS flow_count, count(DISTINCT label) AS distinct_ports FROM flows GROUP BY 1),
+steps AS (SELECT unnest(generate_series(min(ts), max(ts), INTERVAL 1 HOUR)) AS ts FROM one)"""
+ORACLES["win_features_without_key"] = with_(FLOWS + _ALL, f"""
+SELECT {TS}, round(coalesce(orig_bytes, 0), 6) AS orig_bytes, round(coalesce(resp_bytes, 0), 6) AS resp_bytes,
+       coalesce(flow_count, 0) AS flow_count, coalesce(distinct_ports, 0) AS distinct_ports
+FROM steps LEFT JOIN one USING (ts)""")
+ORACLES["win_features_null_key"] = with_(WIN, f"""
+SELECT src_ip, {TS}, round(orig_bytes, 6) AS orig_bytes, round(resp_bytes, 6) AS resp_bytes,
+       flow_count, distinct_ports FROM win WHERE CAST(src_ip AS INTEGER) % 10 <> 0""")
+
+
 def _net_select(digits: int, keys: str = "") -> str:
     plain = {"fwd_packets_sum", "bwd_packets_sum", "attack_active"}
     cols = ", ".join(c if c in plain else f"round({c}, {digits}) AS {c}" for c in NET_COLS)
@@ -504,7 +517,8 @@ WITH cut AS (SELECT quantile_cont(CAST(epoch_us(CAST(ts AS TIMESTAMP)) AS DOUBLE
 SELECT event_id AS uid, CASE WHEN CAST(epoch_us(CAST(ts AS TIMESTAMP)) AS DOUBLE) < c THEN 'train' ELSE 'test' END AS part
 FROM events, cut"""
 ORACLES["shuffled_order"] = f"""
-SELECT doc_id, CAST({row_hash("doc_id")} AS BIGINT) AS h FROM documents"""
+SELECT doc_id, CAST({row_hash("doc_id")} AS BIGINT) AS h,
+       row_number() OVER (ORDER BY {row_hash("doc_id")}, doc_id) AS rank FROM documents"""
 ORACLES["fuse_datasets"] = with_(NET_ALL + "," + lookahead("net", None) + "," + daily("0.1") + ","
     + lookahead("daily", "l_returnflag", 259_200).replace("ahead AS", "ahead2 AS").replace("FROM ahead)", "FROM ahead2)")
     .replace("risk AS", "risk2 AS") + """,
@@ -600,11 +614,8 @@ SELECT vec_id, CAST(i AS INTEGER) AS position,
        round(CASE WHEN label = 0 THEN 100.0 / 64 ELSE abs(v) / sum(abs(v)) OVER (PARTITION BY vec_id) * 100 END, 6) AS share
 FROM emb""")
 ORACLES["ovr_vote"] = with_(softmax(10) + """,
-v AS (
-  SELECT vec_id, max(CASE WHEN i = 0 THEN p * 3 END) AS a, max(CASE WHEN i = 1 THEN p * 3 END) AS b,
-         max(CASE WHEN i = 2 THEN p * 3 END) AS c FROM probs GROUP BY 1)""", """
-SELECT vec_id, CASE WHEN greatest(a, b, c) < 0.5 THEN 'NORMAL' WHEN a >= b AND a >= c THEN 'ELEVATED'
-  WHEN b >= c THEN 'NEAR-TERM' ELSE 'IMMINENT' END AS pred FROM v""")
+v AS (SELECT *, row_number() OVER (PARTITION BY vec_id ORDER BY p DESC, i) AS place FROM probs)""", """
+SELECT vec_id, CASE WHEN p * 3 < 0.5 THEN 'NORMAL' ELSE 'c' || i END AS pred FROM v WHERE place = 1""")
 ORACLES["prediction_json"] = with_(softmax(4) + """,
 v AS (
   SELECT vec_id, arg_max(i, p) AS top, max(p) AS best, max(CASE WHEN i = 0 THEN p END) AS a,
