@@ -23,29 +23,93 @@ from tideglass.llm.common import kept_table, text_blocks
 CAPACITY = 4096
 #: Pieces that one task packs together.
 PER_TASK = 50_000
-#: A task forgets its encoded words when it holds so many.
-HELD_WORDS = 600_000
+#: Half of the encoded words that a task holds: when the younger half is full, it takes the place of the older one.
+HELD_WORDS = 400_000
+#: Signs that form a pre-token of their own behind a word of letters.
+TAIL = ".,;:!?*#$%&"
+#: Words of letters that are encoded as one text.
+JOINED = 256
 ROUNDS = 4
 
 
-def _pieces(path: str, end_id: int, capacity: int):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+class Encoder:
+    """Ids of words, as little-endian bytes: each is encoded once and held while it is in use.
+
+    A word of Latin letters with signs behind it is two pre-tokens; its letters are encoded in lower case and looked
+    up apart from the signs, many such words as one text, whose words end where an id ends a word in the vocabulary.
+    """
+
+    def __init__(self, path: str) -> None:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
-        tokenizer = Tokenizer.from_file(path)
-        tokenizer.no_truncation()
-        tokenizer.no_padding()
-        known: dict[str, bytes] = {}
+        self.tokenizer = Tokenizer.from_file(path)
+        self.tokenizer.no_truncation()
+        self.tokenizer.no_padding()
+        suffix = getattr(self.tokenizer.model, "end_of_word_suffix", None)
+        vocabulary = self.tokenizer.get_vocab() if suffix else {}
+        self.ends = np.zeros(max(vocabulary.values(), default=-1) + 1, bool)
+        self.ends[[i for word, i in vocabulary.items() if word.endswith(suffix)]] = True
+        self.words: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
+        self.stems: dict[str, bytes] = {}
+        self.older_stems: dict[str, bytes] = {}
+
+    def _encode(self, texts: list[str]) -> list[np.ndarray]:
+        return [np.asarray(got.ids, "<u4") for got in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def _learn_stems(self, stems: list[str]) -> None:
+        """Encode words of letters only, ``JOINED`` at a time."""
+        groups = [stems[i : i + JOINED] for i in range(0, len(stems), JOINED)] if len(self.ends) else []
+        for group, ids in zip(groups, self._encode([" ".join(g) for g in groups]), strict=True):
+            cuts = (np.flatnonzero(self.ends[ids]) + 1).tolist()
+            if len(cuts) == len(group) and cuts[-1] == len(ids):
+                raw = ids.tobytes()
+                self.stems.update(zip(group, (raw[4 * x : 4 * y] for x, y in zip([0, *cuts], cuts))))
+        alone = [s for s in stems if s not in self.stems]
+        self.stems.update(zip(alone, (ids.tobytes() for ids in self._encode(alone)), strict=True))
+
+    def learn(self, words: set[str]) -> dict[str, bytes]:
+        """A table that holds the ids of all ``words``."""
+        if len(self.words) > HELD_WORDS:
+            self.older, self.words = self.words, {}
+        if len(self.stems) > HELD_WORDS:
+            self.older_stems, self.stems = self.stems, {}
+        parted, whole, stems = [], [], set()
+        for word in words - self.words.keys():
+            if word in self.older:
+                self.words[word] = self.older[word]
+                continue
+            stem = word.rstrip(TAIL)
+            if stem.isalpha() and (stem.isascii() or (max(stem) < "\u0250" and "\u0130" not in stem)):
+                low, tail = stem.lower(), word[len(stem) :]
+                parted.append((word, low, tail))
+                stems.add(low)
+                stems.add(tail)
+            else:
+                whole.append(word)
+        new = []
+        for stem in stems - self.stems.keys():
+            if stem in self.older_stems:
+                self.stems[stem] = self.older_stems[stem]
+            else:
+                new.append(stem)
+        self._learn_stems([s for s in new if s.isalpha()])
+        other = [s for s in new if not s.isalpha()]
+        self.stems.update(zip(other, (ids.tobytes() for ids in self._encode(other)), strict=True))
+        self.words.update((word, self.stems[low] + self.stems[tail] if tail else self.stems[low]) for word, low, tail in parted)
+        self.words.update(zip(whole, (ids.tobytes() for ids in self._encode(whole)), strict=True))
+        return self.words
+
+
+def _pieces(path: str, end_id: int, capacity: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        encoder = Encoder(path)
         end = end_id.to_bytes(4, "little")
         for batch in text_blocks(batches, "text"):
             # The tokenizer drops white space and joins nothing across it, and lower-cases what it reads.
             texts = [(t.lower() if t.isascii() and "<|" not in t else t).replace("\n", " ").split(" ") if t else [] for t in batch.column("text").to_pylist()]
-            if len(known) > HELD_WORDS:
-                known.clear()
-            new = list(set().union(*texts) - known.keys())
-            for word, got in zip(new, tokenizer.encode_batch_fast(new, add_special_tokens=False), strict=True):
-                known[word] = np.asarray(got.ids, "<u4").tobytes()
+            known = encoder.learn(set().union(*texts))
             ids, parts, starts, lengths, sums = [], [], [], [], []
             for doc, words in zip(batch.column("doc_id").to_pylist(), texts, strict=True):
                 raw = b"".join(map(known.__getitem__, words)) + end
@@ -164,7 +228,7 @@ def pack(pieces: DataFrame, capacity: int = CAPACITY, per_task: int = PER_TASK)
         # Many pieces to a task, so that few bins stay open; never more tokens than a few thousand sequences.
         tasks = max(1, -(-n // per_task), -(-(tokens or 0) // (capacity * per_task // 8)))
         # Which pieces meet depends on the round alone, so a lost task does the same again.
-        task = F.pmod(F.xxhash64("doc_id", "piece", "start", F.lit(step)), F.lit(tasks)) if tasks > 1 else F.lit(0).cast("long")
+        task = F.pmod(F.xxhash64("doc_id", "piece", "start", "length", "ids_crc32", F.lit(step)), F.lit(tasks)) if tasks > 1 else F.lit(0).cast("long")
         packed = kept_table(todo.withColumn("task", task).groupBy("task").applyInArrow(_pack(capacity), PACKED), f"packed{step}")
         final = tasks == 1 or step == ROUNDS
         sure = (packed if final else packed.where(~F.col("open"))).select(*columns, ((F.lit(step) * (1 << 34) + F.col("task")) * (1 << 24) + F.col("bin")).alias("sequence_id"), "offset")
