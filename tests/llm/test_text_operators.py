@@ -9,6 +9,7 @@ import pytest
 from tokenizers import Tokenizer
 
 from tideglass.llm import near_duplicates as near_module
+from tideglass.llm import packing
 from tideglass.llm.decontamination import best_alignment, decontaminate, leaks
 from tideglass.llm.near_duplicates import near_duplicates
 from tideglass.llm.packing import best_fit, bins_needed, document_pieces, pack
@@ -58,6 +59,22 @@ def test_packing(spark, documents):
     assert pack(document_pieces(documents([]), path)).count() == 0
 
 
+def test_encoder_equals_the_library(monkeypatch):
+    """Words in turn, with a table so small that words leave it and come back."""
+    monkeypatch.setattr(packing, "HELD_WORDS", 40)
+    monkeypatch.setattr(packing, "JOINED", 7)
+    encoder = packing.Encoder(public_tokenizers.path("word_bpe_49k.json"))
+    rng = np.random.default_rng(7)
+    letters, tails = list("aeiounrstlhAEéßñÑ"), ["", "", "", ".", ",", "***", "!!", "'s", "7"]
+    texts = [" ".join("".join(rng.choice(letters, rng.integers(1, 12))) + tails[rng.integers(0, len(tails))] for _ in range(30)) for _ in range(30)]
+    texts += [t for t in ODD if t and "<|STARTOFTEXT" not in t] + ["don't it's we'll 's O'Neil's.", "x\u0130y \u0130. \u00c9cole. \u03a3\u03a3 o\u03a3.", "a.,b ..a, 12ab. ab12. \u00aa\u00ba. \u0149a, \u01c5! \u017f.", "<|endoftext|>. a<|startoftext|>!", "\x1c a\x1fb, c. \u0085e e\u0301. e\u0301"]
+    for text in texts * 2:
+        parts = text.split(" ")
+        known = encoder.learn(set(parts))
+        want = encoder.tokenizer.encode(text, add_special_tokens=False).ids
+        assert b"".join(known[w] for w in parts) == b"".join(i.to_bytes(4, "little") for i in want), text[:80]
+
+
 def test_bounds_hold():
     rng = np.random.default_rng(1)
     for n in (1, 5, 40, 300):

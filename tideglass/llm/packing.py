@@ -102,9 +102,20 @@ class Encoder:
         return self.words
 
 
+#: The encoder of a worker process, by tokenizer file: the tasks that it runs one after the other share it.
+_encoders: dict[str, Encoder] = {}
+
+
+def _encoder(path: str) -> Encoder:
+    if path not in _encoders:
+        _encoders.clear()
+        _encoders[path] = Encoder(path)
+    return _encoders[path]
+
+
 def _pieces(path: str, end_id: int, capacity: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = Encoder(path)
+        encoder = _encoder(path)
         end = end_id.to_bytes(4, "little")
         for batch in text_blocks(batches, "text"):
             # The tokenizer drops white space and joins nothing across it, and lower-cases what it reads.
