@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import zlib
 from collections.abc import Iterator
 
@@ -16,6 +17,23 @@ from tideglass.session import scratch_path
 BLOCK_BYTES = 4_000_000
 
 
+#: Bytes of the rows that Spark hands to a Python worker together, unless one row is longer.
+BATCH_BYTES = 16_000_000
+
+
+def bound_batches(spark: SparkSession) -> None:
+    """Cut Arrow batches by bytes from here on; without it 10,000 rows go together, however long their texts are."""
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
+
+
+def give_back() -> None:
+    """Return freed memory of this Python worker to the system: workers live on while the JVM does other steps."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc only
+    if trim is not None:
+        trim(0)
+
+
 def kept_table(df: DataFrame, name: str, bag: list[str] | None = None) -> DataFrame:
     """Write ``df`` to the shared folder and read it back; cuts the lineage. ``bag`` takes the path for :func:`discard`."""
     spark = df.sparkSession
@@ -44,7 +62,10 @@ def is_held_out(doc_id) -> bool:
 
 
 def text_blocks(batches: Iterator[pa.RecordBatch], column: str, limit: int = BLOCK_BYTES) -> Iterator[pa.RecordBatch]:
-    """Cut Arrow batches so that the texts of one piece hold about ``limit`` bytes; no text is cut."""
+    """Cut Arrow batches so that the texts of one piece hold about ``limit`` bytes; no text is cut.
+
+    After the last piece, freed memory goes back to the system.
+    """
     for batch in batches:
         texts = batch.column(column)
         sizes = pa.compute.binary_length(texts).fill_null(0).to_numpy(zero_copy_only=False)
@@ -56,6 +77,7 @@ def text_blocks(batches: Iterator[pa.RecordBatch], column: str, limit: int = BLO
             held += int(n)
         if start < batch.num_rows:
             yield batch.slice(start)
+    give_back()
 
 
 #: Bits of the table in :func:`maybe_in`: at most 2^18 rows of two numbers are broadcast.

@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tideglass.llm.common import discard, kept_table, maybe_in, text_blocks
+from tideglass.llm.common import bound_batches, discard, give_back, kept_table, maybe_in, text_blocks
 from tideglass.llm.components import components
 from tideglass.llm.words import mixed, shingles, split_words
 
@@ -101,6 +101,7 @@ def _confirm(percent: int):
                 hits.append(100 * shared >= percent * (len(x) + len(y) - shared))
             keep = batch.select(["a", "b"]).filter(pa.array(hits, pa.bool_()))
             yield pa.record_batch(keep.columns, ["a", "b"])
+        give_back()
 
     return run
 
@@ -210,6 +211,7 @@ def _components(docs: DataFrame, size: int, percent: int) -> tuple[DataFrame, Da
     """Rows of ``docs (doc_id, text, ...)`` without text but with ``n_shingles`` and ``set_key``, and ``set_key, root,
     component_id`` of every set."""
     bag: list[str] = []
+    bound_batches(docs.sparkSession)
     kinds = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in docs.schema if f.name != "text")
     prints = kept_table(docs.mapInArrow(_prints(size), f"{kinds}, n_shingles long, set_key binary, marks binary"), "prints")
     classes = kept_table(

@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tideglass.llm.common import held_out, kept_table, text_blocks
+from tideglass.llm.common import bound_batches, held_out, kept_table, text_blocks
 from tideglass.llm.ngrams import code_points, hashed
 
 #: Bound of the labelled rows the model is fitted on.
@@ -24,6 +24,8 @@ ORDERS = (4, 5, 6)
 BITS = 20
 FEATURES = 3_000
 THRESHOLD = 0.3
+#: Bytes of text whose n-grams are held together, unless one text is longer: all of them when counting, few when scoring.
+COUNT_BYTES, SCORE_BYTES = 250_000, 500_000
 
 
 @dataclass
@@ -37,18 +39,18 @@ class ToxicModel:
 def _present(texts: list, known: np.ndarray | None) -> tuple[np.ndarray, np.ndarray]:
     """Pairs (text, n-gram) that occur, each once; only n-grams marked in ``known`` if given."""
     points, first = code_points(texts)
-    docs, grams = [], []
+    found = []
     for x in hashed(points, first, ORDERS, BITS):
         at = np.flatnonzero(x < (1 << BITS) if known is None else known[x])
-        docs.append(np.searchsorted(first, at, side="right") - 1)
-        grams.append(x[at].astype(np.int64))
-    pairs = np.unique((np.concatenate(docs) << np.int64(BITS)) | np.concatenate(grams))
+        docs = np.searchsorted(first, at, side="right") - 1
+        found.append(np.unique((docs << np.int64(BITS)) | x[at]))
+    pairs = np.unique(np.concatenate(found))
     return pairs >> BITS, pairs & ((1 << BITS) - 1)
 
 
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     counts = np.zeros((2, 1 << BITS), np.int64)
-    for batch in text_blocks(batches, "text", 1_000_000):
+    for batch in text_blocks(batches, "text", COUNT_BYTES):
         labels = batch.column("label").to_numpy(zero_copy_only=False)
         docs, grams = _present(batch.column("text").to_pylist(), None)
         for y in (0, 1):
@@ -89,6 +91,7 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, train_rows: int = TRAIN_ROW
     has no features and scores every text with the share of toxic rows (0.5 without any).
     """
     spark = docs.sparkSession
+    bound_batches(spark)
     usable = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("toxic").cast("int").alias("label")).where("label in (0, 1) and doc_id is not null").where(~held_out(F.col("doc_id")))
     one = usable.groupBy("doc_id").agg(F.min("label").alias("label"), F.max("label").alias("other")).where("label = other").select("doc_id", "label")
     drawn = one.orderBy(F.xxhash64("doc_id", F.lit("toxicity")), "doc_id").limit(train_rows)
@@ -111,7 +114,7 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, train_rows: int = TRAIN_ROW
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = shared.value
-        for batch in text_blocks(batches, "text", 1_000_000):
+        for batch in text_blocks(batches, "text", COUNT_BYTES):
             docs, found = _present(batch.column("text").to_pylist(), own >= 0)
             cuts = np.searchsorted(docs, np.arange(batch.num_rows + 1))
             yield pa.record_batch([batch.column("label"), pa.array([own[found[a:b]].astype("<i4").tobytes() for a, b in zip(cuts[:-1], cuts[1:], strict=True)], pa.binary())], ["label", "at"])
@@ -129,6 +132,7 @@ def score_toxicity(docs: DataFrame, model: ToxicModel) -> DataFrame:
     All columns of ``docs`` stay, repeated rows too; a column ``toxicity`` of its own is replaced.
     """
     spark = docs.sparkSession
+    bound_batches(spark)
     at = np.flatnonzero(model.weights)
     shared, bias = spark.sparkContext.broadcast((at, model.weights[at])), model.bias
     docs = docs.drop("toxicity")
@@ -137,7 +141,7 @@ def score_toxicity(docs: DataFrame, model: ToxicModel) -> DataFrame:
         at, values = shared.value
         weights = np.zeros((1 << BITS) + 1)
         weights[at] = values
-        for batch in text_blocks(batches, "text", 2_000_000):
+        for batch in text_blocks(batches, "text", SCORE_BYTES):
             docs, found = _present(batch.column("text").to_pylist(), weights != 0)
             total = np.bincount(docs, weights[found], batch.num_rows) + bias
             yield pa.record_batch([*batch.columns, pa.array(1 / (1 + np.exp(-np.clip(total, -500, 500))))], [*batch.schema.names, "toxicity"])
