@@ -116,3 +116,29 @@ def test_clear_of_boundaries(spark, at):
 
 def test_horizon_class_order():
     assert [n for n, _ in RISK_HORIZONS] == ["IMMINENT", "NEAR-TERM", "ELEVATED"]
+
+
+def test_tasks_of_horizons_follow_the_given_number(spark):
+    df = spark.createDataFrame([(str(i % 50), DAY + timedelta(seconds=60 * i)) for i in range(400)], "k string, ts timestamp")
+    spans = spark.createDataFrame([(str(i), *ATTACKS[0]) for i in range(50)], "k string, start timestamp, end timestamp")
+    plain = event_horizon(df, spans, "k", "ts", 600)
+    dealt = event_horizon(df, spans, "k", "ts", 600, partitions=37)
+    assert dealt.rdd.getNumPartitions() == 37
+    assert sorted(map(str, dealt.collect())) == sorted(map(str, plain.collect()))
+
+
+def test_shared_times_are_looked_up_once(spark, capsys):
+    """Many rows of one time, and rows without a time, in one series."""
+    start, end = ATTACKS[0]
+    times = [start - timedelta(seconds=30), start, end + timedelta(seconds=1), None]
+    df = spark.createDataFrame([(i, times[i % 4]) for i in range(400)], "i int, ts timestamp")
+    spans = spark.createDataFrame([ATTACKS[0]], "start timestamp, end timestamp")
+    out = event_horizon(df, spans, None, "ts", 600)
+    got = {r.i: (r._inside, r._gap) for r in out.collect()}
+    want = [(False, 30.0), (True, None), (False, None), (False, None)]
+    assert len(got) == 400 and all(v == want[i % 4] for i, v in got.items())
+    # The rows themselves meet the answers after the windows, by a join.
+    assert out.columns == ["i", "ts", "_inside", "_gap"]
+    capsys.readouterr()
+    out.explain()
+    assert "Join" in capsys.readouterr().out

@@ -151,6 +151,7 @@ def event_horizon(
     ts: str,
     horizon: float,
     bucket_seconds: int = 600,
+    partitions: int | None = None,
 ) -> DataFrame:
     """Adds ``_inside`` and ``_gap`` for each row of ``df``.
 
@@ -164,8 +165,24 @@ def event_horizon(
     of all later ones. Both join the bucket as two more events, and running
     aggregates inside the bucket do the rest, so one shuffle moves the rows
     whatever the length of an event. ``bucket_seconds`` bounds what a task sorts.
+    Without keys many rows share a time, so each time is looked up once. With
+    keys, ``partitions`` fixes the number of tasks that sort; else Spark chooses.
     """
     keys = as_keys(by)
+    if not keys:
+        return null_safe_join(df, _horizons(df.select(ts).distinct(), events, keys, ts, horizon, bucket_seconds), ts, "left")
+    return _horizons(df, events, keys, ts, horizon, bucket_seconds, partitions)
+
+
+def _horizons(
+    df: DataFrame,
+    events: DataFrame,
+    keys: list[str],
+    ts: str,
+    horizon: float,
+    bucket_seconds: int,
+    partitions: int | None = None,
+) -> DataFrame:
     us = 1_000_000
     own = (
         events.filter(F.col("start").isNotNull() & (F.col("end") >= F.col("start")))
@@ -204,6 +221,8 @@ def event_horizon(
         .unionByName(own, allowMissingColumns=True)
         .unionByName(edges, allowMissingColumns=True)
     )
+    if partitions:
+        both = both.repartition(partitions, *keys, BUCKET)
     part = Window.partitionBy(*keys, BUCKET)
     # A range frame takes in events that start at the very same time.
     upto = part.orderBy("_t").rangeBetween(Window.unboundedPreceding, Window.currentRow)

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from tideglass.functions.scores import softmax
 from tideglass.operators.windows import net_window_features, window_features
+from tideglass.session import task_count
 
 HOUR = 3_600
 DAY = 86_400
@@ -23,6 +24,8 @@ EVENT_STAGES = {"view": 0, "click": 1, "signup": 2, "purchase": 3, "error": 4}
 HORIZONS = [("IMMINENT", 3 * HOUR), ("NEAR-TERM", 12 * HOUR), ("ELEVATED", 30 * HOUR)]
 WINDOW_COLUMNS = ["orig_bytes", "resp_bytes", "flow_count", "distinct_ports"]
 VECTOR = [f"f{i}" for i in range(64)]
+# Events whose gap-filled windows (ten times as many on the benchmark tables) one task holds.
+TASK_EVENTS = 30_000
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -45,6 +48,11 @@ def flows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return as_flows(table(spark, sf_dir, "events"))
 
 
+def window_tasks(spark: SparkSession, sf_dir: str) -> int:
+    """Tasks for gap-filled windows, in proportion to the events."""
+    return task_count(table(spark, sf_dir, "events"), TASK_EVENTS)
+
+
 def windows(spark: SparkSession, sf_dir: str, gap_fill: bool = True) -> DataFrame:
     return window_features(
         flows(spark, sf_dir),

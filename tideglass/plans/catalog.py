@@ -43,6 +43,7 @@ from tideglass.plans.adapters import (
     text,
     vectors,
     windows,
+    window_tasks,
 )
 from tideglass.schemas import FLOW_MEANS
 from tideglass.plans.jobs import materialise
@@ -393,6 +394,7 @@ def interval_label(spark, sf):
     out = labels.label_by_intervals(
         windows(spark, sf).withColumn("end_ts", F.col("ts") + F.expr("INTERVAL 1 HOUR")),
         _daily_intervals(spark, sf), "end_ts", "src_ip", HORIZONS, bucket_seconds=10 * DAY,
+        partitions=window_tasks(spark, sf),
     )
     return out.select("src_ip", text(), "label")
 
@@ -410,7 +412,7 @@ def interval_label_network(spark, sf):
 def boundary_exclusion(spark, sf):
     out = labels.clear_of_boundaries(
         windows(spark, sf), _daily_intervals(spark, sf), 1_800, "ts", "src_ip", HORIZONS,
-        bucket_seconds=10 * DAY,
+        bucket_seconds=10 * DAY, partitions=window_tasks(spark, sf),
     )
     return out.select("src_ip", text())
 
