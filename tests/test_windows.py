@@ -152,3 +152,11 @@ def test_risk_features_equal_the_two_steps(spark, chunk):
         w = a[(r.src_ip, r.ts)]
         assert r.label == w.label and r.syn_rate_diff == pytest.approx(w.syn_rate_diff)
         assert r.packet_size_1m_avg == pytest.approx(w.packet_size_1m_avg)
+
+
+def test_risk_features_in_a_given_number_of_tasks(spark, at):
+    rows = [(str(i % 3), at(10 * (i // 3)), float(i % 7), float(i % 5), float(i % 4), int(i % 40 == 0)) for i in range(300)]
+    df = spark.createDataFrame(rows, "k string, ts timestamp, connections_per_sec double, syn_rate double, avg_packet_size double, attack_active int")
+    plain, dealt = risk_features(df, "k", 10), risk_features(df, "k", 10, partitions=29)
+    assert dealt.rdd.getNumPartitions() == 29
+    assert sorted(map(str, dealt.collect())) == sorted(map(str, plain.collect()))
