@@ -202,6 +202,27 @@ def test_repeats_equal_brute_force(spark, documents, monkeypatch, hot):
     assert repeat_digests(with_repeats(documents([]))).count() == 0
 
 
+def test_repeats_hold_little_memory_at_once():
+    import tracemalloc
+
+    import pyarrow as pa
+    import tideglass.llm.substring_dedup as s
+
+    rng = np.random.default_rng(6)
+    texts = [bytes(rng.integers(97, 123, 250_000, dtype=np.uint8)).decode() for _ in range(12)]
+    docs = pa.record_batch([pa.array([b"k%d" % i for i in range(12)]), pa.array(texts)], ["tkey", "text"])
+    segments = [t[a : a + 600].encode() for t in texts for a in range(0, 249_000, 600)]
+    ids = [b"%d" % i for i in range(len(segments))]
+    rows = pa.record_batch([pa.array(range(len(segments))), pa.array(ids), pa.array(segments)], ["anchor", "sid", "segment"])
+    peaks = []
+    for step, batch in ((s._anchors(400), docs), (s._sort_blocks(400), rows)):
+        tracemalloc.start()
+        assert sum(b.num_rows >= 0 for b in step(iter([batch])))
+        peaks.append(tracemalloc.get_traced_memory()[1] / 1e6)
+        tracemalloc.stop()
+    assert peaks[0] < 80 and peaks[1] < 220, peaks
+
+
 def test_repeated_windows_in_segments():
     x = repeated_windows([b"abcdefgh", b"zzcdefzz", b"bcdefg"], 4)
     assert [v.tolist() for v in x] == [[1, 2, 3], [2], [0, 1, 2]]
