@@ -82,6 +82,15 @@ def test_language_model(spark):
     assert abs(total - 1) < 1e-4
 
 
+def test_language_model_learns_from_every_document(spark):
+    cycle = " ".join("one two three four five six seven".split() * 20)
+    base = spark.createDataFrame([(i, cycle) for i in range(60)], "doc_id long, text string")
+    known = language_model.fit_vocabulary(base)
+    whole = language_model.flat(language_model.fit_model(base, known))
+    for gone in (0, 17, 41, 59):
+        assert not np.array_equal(whole, language_model.flat(language_model.fit_model(base.where(f"doc_id <> {gone}"), known)))
+
+
 def test_components(spark):
     rng = np.random.default_rng(4)
     links = [(i, i + 1) for i in range(200)] + [(1_000, 1_000 + k) for k in range(1, 300)] + [(5, 5), (7, 3)]

@@ -6,7 +6,7 @@ the middle left out, and gives the probability of the middle's class (symbols in
 symbol in its class. The different words behind a spill symbol
 share it evenly, so every word has a probability.
 
-Training runs in tasks over a fixed share of all documents, drawn by hash, so it grows with the corpus; models of the
+Training runs in tasks over all documents. Every document teaches once, in the round that its hash draws; models of the
 tasks are averaged between rounds, weighted by tokens.
 """
 
@@ -29,10 +29,10 @@ CLASS_SIZE = 32
 REACH = 2
 WIDTH = 16
 HIDDEN = 32
-#: One in so many documents teaches.
-SHARE = 12
 ROUNDS = 2
-BATCH = 1_024
+#: Rows of a training step at most, and at least if there are so many.
+BATCH = 8_192
+LEAST_BATCH = 1_024
 SYMBOLS = VOCABULARY + SPILL
 CLASSES = -(-SYMBOLS // CLASS_SIZE)
 EDGE = SYMBOLS
@@ -69,9 +69,11 @@ def windows(symbols: np.ndarray, first: np.ndarray) -> np.ndarray:
     return out
 
 
-def _log_softmax(x: np.ndarray) -> np.ndarray:
-    x = x - x.max(axis=-1, keepdims=True)
-    return x - np.log(np.exp(x).sum(axis=-1, keepdims=True))
+def _softmax(x: np.ndarray) -> np.ndarray:
+    x -= x.max(axis=1, keepdims=True)
+    np.exp(x, out=x)
+    x /= x.sum(axis=1, keepdims=True)
+    return x
 
 
 def log_probabilities(model: Model, context: np.ndarray, symbols: np.ndarray, step: int = 65_536) -> np.ndarray:
@@ -96,40 +98,55 @@ def log_probabilities(model: Model, context: np.ndarray, symbols: np.ndarray, st
 
 
 def train(model: Model, context: np.ndarray, symbols: np.ndarray, state: Model, rate: float) -> None:
-    """One pass of AdaGrad over the rows, in place; ``state`` holds the sums of squares."""
+    """One pass of AdaGrad over the rows, in place; ``state`` holds the sums of squares.
+
+    A step takes ``BATCH`` rows, or a twentieth of the rows, but ``LEAST_BATCH`` at least. Rows of a step are ordered
+    by class, so that the symbols of a class are rows in a row.
+    """
 
     def move(name: str, grad: np.ndarray, at=...) -> None:
         state[name][at] += grad * grad
         model[name][at] -= rate * grad / np.sqrt(state[name][at] + 1e-6)
 
-    for a in range(0, len(symbols), BATCH):
-        c, s = context[a : a + BATCH], symbols[a : a + BATCH]
+    size = min(BATCH, max(LEAST_BATCH, len(symbols) // 20))
+    for a in range(0, len(symbols), size):
+        order = np.argsort((symbols[a : a + size] // CLASS_SIZE).astype(np.int16), kind="stable")
+        c, s = context[a : a + size][order], symbols[a : a + size][order]
         n = len(s)
         e = model["embed"][c].reshape(n, -1)
         h = np.tanh(e @ model["hidden"] + model["hidden_bias"])
         kind, inner = s // CLASS_SIZE, s % CLASS_SIZE
-        g = np.exp(_log_softmax(h @ model["kind"] + model["kind_bias"]))
+        g = _softmax(h @ model["kind"] + model["kind_bias"])
         g[np.arange(n), kind] -= 1
         g /= n
         back = g @ model["kind"].T
-        for k in np.unique(kind):
-            own = np.flatnonzero(kind == k)
-            q = np.exp(_log_softmax(h[own] @ model["word"][k] + model["word_bias"][k]))
-            q[np.arange(len(own)), inner[own]] -= 1
-            q /= n
-            back[own] += q @ model["word"][k].T
-            move("word", h[own].T @ q, k)
-            move("word_bias", q.sum(axis=0), k)
+        cuts = np.searchsorted(kind, np.arange(CLASSES + 1))
+        seen = np.flatnonzero(np.diff(cuts))
+        q = np.empty((n, CLASS_SIZE), np.float32)
+        for k in seen:
+            own = slice(cuts[k], cuts[k + 1])
+            np.matmul(h[own], model["word"][k], out=q[own])
+            q[own] += model["word_bias"][k]
+        q = _softmax(q)
+        q[np.arange(n), inner] -= 1
+        q /= n
+        words = np.empty((len(seen), HIDDEN, CLASS_SIZE), np.float32)
+        for i, k in enumerate(seen):
+            own = slice(cuts[k], cuts[k + 1])
+            back[own] += q[own] @ model["word"][k].T
+            np.matmul(h[own].T, q[own], out=words[i])
+        move("word", words, seen)
+        move("word_bias", np.add.reduceat(q, cuts[seen], axis=0), seen)
         move("kind", h.T @ g)
         move("kind_bias", g.sum(axis=0))
         back *= 1 - h * h
         into = (back @ model["hidden"].T).reshape(-1, WIDTH)
         move("hidden", e.T @ back)
         move("hidden_bias", back.sum(axis=0))
-        seen, where = np.unique(c.ravel(), return_inverse=True)
-        total = np.zeros((len(seen), WIDTH), np.float32)
-        np.add.at(total, where.ravel(), into)
-        move("embed", total, seen)
+        around = c.ravel().astype(np.int16)
+        order = np.argsort(around, kind="stable")
+        at, first = np.unique(around[order], return_index=True)
+        move("embed", np.add.reduceat(into[order], first, axis=0), at)
 
 
 class Vocabulary:
@@ -173,10 +190,10 @@ def fit_vocabulary(docs: DataFrame) -> Vocabulary:
     return Vocabulary(words, np.log(spill))
 
 
-def fit_model(docs: DataFrame, vocabulary: Vocabulary, id_col: str = "doc_id", share: int = SHARE, rounds: int = ROUNDS) -> Model:
-    """Train on one in ``share`` documents, drawn by a hash of id and text."""
+def fit_model(docs: DataFrame, vocabulary: Vocabulary, id_col: str = "doc_id", share: int = 1, rounds: int = ROUNDS) -> Model:
+    """Train on every document once (with ``share``, on one in so many); a hash of id and text draws its round."""
     spark = docs.sparkSession
-    drawn = docs.where(F.pmod(F.xxhash64(F.col(id_col), "text", F.lit("model")), F.lit(share)) == 0).select("text")
+    drawn = F.pmod(F.xxhash64(F.col(id_col), "text", F.lit("model")), F.lit(share * rounds))
     known, model = spark.sparkContext.broadcast(vocabulary), new_model()
     for step in range(rounds):
         start, rate = spark.sparkContext.broadcast(model), 0.15 / (1 + step)
@@ -197,9 +214,9 @@ def fit_model(docs: DataFrame, vocabulary: Vocabulary, id_col: str = "doc_id", s
                 yield pa.record_batch([pa.array(np.arange(len(values))), pa.array(values), pa.array(np.full(len(values), tokens))], ["at", "value", "tokens"])
 
         # Sums by parameter are taken in tasks before the shuffle; the driver gets one row for each parameter.
-        got = drawn.mapInArrow(learn, "at long, value double, tokens long").groupBy("at").agg((F.sum("value") / F.sum("tokens")).alias("value")).collect()
+        got = docs.where(drawn == step).select("text").mapInArrow(learn, "at long, value double, tokens long").groupBy("at").agg((F.sum("value") / F.sum("tokens")).alias("value")).collect()
         if not got:
-            break
+            continue
         values = np.empty(len(got))
         values[[r.at for r in got]] = [r.value for r in got]
         model = shaped(values)
