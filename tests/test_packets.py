@@ -3,6 +3,7 @@ from datetime import datetime, timedelta
 
 import numpy as np
 import pytest
+from pyspark.sql import GroupedData
 
 from tideglass.operators.anchored import anchored_windows, chain_ends, compose, steps_of
 from tideglass.operators.packets import arrival_gaps, assemble_flows, connection_flows
@@ -98,6 +99,32 @@ def test_anchored_windows_per_key(spark):
         assert {r.ts for r in got if r.dst_ip == d} == {s + timedelta(seconds=10) for s in want}
 
 
+def test_anchored_windows_of_many_captures(spark, monkeypatch):
+    """Small captures share calls of Python, also where a batch ends inside of one."""
+    calls = spark.sparkContext.accumulator(0)
+    apply = GroupedData.applyInPandas
+
+    def watched(self, func, schema):
+        def run(names, pdf):
+            calls.add(1)
+            return func(names, pdf)
+
+        return apply(self, run, schema)
+
+    monkeypatch.setattr(GroupedData, "applyInPandas", watched)
+    rng = np.random.default_rng(4)
+    rows = [packet(float(t), dst=f"d{k:03}") for k in range(200) for t in np.sort(rng.uniform(0, 100, 9)).round(1)]
+    before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7")
+    try:
+        got = anchored_windows(spark.createDataFrame(rows, PACKETS), "dst_ip", bucket_widths=3, fan=2).collect()
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", before)
+    want = {(f"d{k:03}", s + timedelta(seconds=10)) for k in range(200) for s in plain_loop([r for r in rows if r[3] == f"d{k:03}"], 10)}
+    assert {(r.dst_ip, r.ts) for r in got} == want and len(got) == len(want)
+    assert calls.value == 0
+
+
 def steps_by_hand(times, entry, width):
     """Last start of a chain that enters at ``entry``; None if nothing is left."""
     last = None

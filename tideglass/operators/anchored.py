@@ -10,11 +10,12 @@ tables, or the packet times of one bucket.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Iterator, Sequence
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -27,6 +28,8 @@ from tideglass.session import written_table
 MICROS = 1_000_000
 #: Tables merged by one task in one round.
 FAN = 32
+#: Stands for null in a column of longs.
+NONE = np.iinfo("int64").min
 
 
 @dataclass
@@ -84,9 +87,51 @@ def compose(tables: Sequence[Steps], lows: Sequence[int], width: int) -> Steps:
     return done
 
 
-def _tables(pdf: pd.DataFrame) -> list[tuple[int, Steps]]:
-    pdf = pdf.sort_values(["_b", "_upto"])
-    return [(int(b), Steps(p["_upto"].to_numpy(), p["_last"].to_numpy(), int(p["_top"].iat[0]))) for b, p in pdf.groupby("_b", sort=True)]
+def _tables(rows: dict[str, np.ndarray]) -> list[tuple[int, Steps]]:
+    """The tables of steps in rows ordered by ``_b`` and ``_upto``."""
+    b = rows["_b"]
+    cuts = [0, *(np.flatnonzero(b[1:] != b[:-1]) + 1).tolist(), len(b)]
+    return [(int(b[i]), Steps(rows["_upto"][i:j], rows["_last"][i:j], int(rows["_top"][i]))) for i, j in zip(cuts[:-1], cuts[1:])]
+
+
+def each_group(rows: DataFrame, keys: Sequence[str], order: Sequence[str], run: Callable[[dict], dict], schema: T.StructType) -> DataFrame:
+    """``run`` on the long columns of each group of ``rows``, in the order of ``order``; its columns beside the keys in ``schema``.
+
+    A task reads its groups as one sorted stream of Arrow batches, so a small group costs no call of Python of its own,
+    and only the group that a batch ends in is held. Nulls in long columns are ``NONE``, both ways. Keys are not null.
+    """
+    added = [f.name for f in schema if f.name not in keys]
+    kept = [f.name for f in schema if f.name in keys]
+    longs = [c for c in rows.columns if c not in keys]
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+
+        def done(table: pa.Table, cuts: list[int]) -> pa.RecordBatch:
+            columns = {c: table[c].fill_null(NONE).to_numpy() for c in longs}
+            parts = [run({c: v[i:j] for c, v in columns.items()}) for i, j in zip(cuts[:-1], cuts[1:])]
+            owners = pa.array(np.repeat(cuts[:-1], [len(p[added[0]]) for p in parts]))
+            own = [pa.concat_arrays(table[c].take(owners).chunks or [pa.array([], table[c].type)]) for c in kept]
+            values = [np.concatenate([p[c] for p in parts]).astype("int64") for c in added]
+            arrays = dict(zip([*kept, *added], [*own, *[pa.array(v, mask=v == NONE) for v in values]]))
+            return pa.record_batch([arrays[f.name] for f in schema], schema.names)
+
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            table = pa.Table.from_batches([*held, batch]).combine_chunks()
+            new = np.zeros(table.num_rows - 1, bool)
+            for c in keys:
+                new |= pc.not_equal(table[c].slice(1), table[c].slice(0, table.num_rows - 1)).to_numpy().astype(bool)
+            cuts = [0, *(np.flatnonzero(new) + 1).tolist()]
+            if len(cuts) > 1:
+                yield done(table.slice(0, cuts[-1]), cuts)
+            held = table.slice(cuts[-1]).combine_chunks().to_batches()
+        if held:
+            table = pa.Table.from_batches(held)
+            yield done(table, [0, table.num_rows])
+
+    return rows.repartition(*keys).sortWithinPartitions(*keys, *order).mapInArrow(cut, schema)
 
 
 def anchored_windows(
@@ -120,72 +165,59 @@ def anchored_windows(
     def schema(ddl: str) -> T.StructType:
         return T.StructType(key_fields + T.StructType.fromDDL(ddl).fields)
 
-    def framed(names: tuple, columns: dict) -> pd.DataFrame:
-        out = pd.DataFrame(columns)
-        for name, value in zip(group, names):
-            out[name] = value
-        return out[group + list(columns)]
-
-    def as_rows(names: tuple, b: int, s: Steps) -> pd.DataFrame:
-        return framed(names, {"_b": b, "_upto": s.upto, "_last": s.last, "_top": s.top})
-
     steps_schema = schema("_b long, _upto long, _last long, _top long")
+    up_schema = schema("_up long, _upto long, _last long, _top long")
     opens_schema = schema("_b long, _open long, _final long")
 
-    def leaves(names: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        b = int(names[-1])
-        return as_rows(names, b, steps_of(np.sort(pdf["_t"].to_numpy()), zero + b * size, step))
+    def steps_rows(s: Steps) -> dict[str, np.ndarray]:
+        return {"_upto": s.upto, "_last": s.last, "_top": np.full(len(s.upto), s.top)}
+
+    def leaves(rows: dict) -> dict:
+        return steps_rows(steps_of(rows["_t"], zero + int(rows["_at"][0]) * size, step))
 
     def merged(level: int):
-        def run(names: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-            parts = _tables(pdf)
+        def run(rows: dict) -> dict:
+            parts = _tables(rows)
             lows = [zero + b * size * fan**level for b, _ in parts]
-            return as_rows(names, int(names[-1]), compose([s for _, s in parts], lows, step))
+            return steps_rows(compose([s for _, s in parts], lows, step))
 
         return run
 
-    def entered(names: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        opened = pdf["_open"].iat[0]
-        start, rows = None if pd.isna(opened) else int(opened), []
-        for b, s in _tables(pdf):
-            rows.append((b, start))
+    def entered(rows: dict) -> dict:
+        start = None if rows["_open"][0] == NONE else int(rows["_open"][0])
+        found, opens = _tables(rows), []
+        for _, s in found:
+            opens.append(NONE if start is None else start)
             start = s.after(start, step)
-        opens = pd.array([r[1] for r in rows], dtype="Int64")
-        return framed(names, {"_b": [r[0] for r in rows], "_open": opens, "_final": pdf["_final"].iat[0]})
+        return {"_b": np.array([b for b, _ in found]), "_open": np.array(opens), "_final": rows["_final"][: len(found)]}
 
     # Up: each level has one table of steps for ``fan`` tables of the level below.
     parent = F.floor(F.col("_b") / F.lit(fan)).cast("long")
-    levels = [written_table(times.groupBy(*group, "_b").applyInPandas(leaves, steps_schema), "steps")]
+    levels = [written_table(each_group(times.withColumn("_at", F.col("_b")), [*group, "_b"], ["_t"], leaves, steps_schema), "steps")]
     most = levels[0].agg(F.max("_b")).first()[0] or 0
     while most > 0:
         level = len(levels) - 1
-        above = levels[-1].withColumn("_up", parent).groupBy(*group, "_up").applyInPandas(merged(level), steps_schema)
-        levels.append(written_table(above, "steps"))
+        above = each_group(levels[-1].withColumn("_up", parent), [*group, "_up"], ["_b", "_upto"], merged(level), up_schema)
+        levels.append(written_table(above.withColumnRenamed("_up", "_b"), "steps"))
         most //= fan
     # Down: a series enters its one table without an open window, and learns its last start from it.
     opens = levels[-1].groupBy(*group, "_b").agg(F.lit(None).cast("long").alias("_open"), F.min_by("_last", "_upto").alias("_final"))
     for below in levels[-2::-1]:
         entry = opens.withColumnRenamed("_b", "_up")
-        opens = below.withColumn("_up", parent).join(entry, [*group, "_up"]).groupBy(*group, "_up").applyInPandas(entered, opens_schema)
+        opens = each_group(below.withColumn("_up", parent).join(entry, [*group, "_up"]), [*group, "_up"], ["_b", "_upto"], entered, opens_schema)
 
-    def walk(names: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        t = np.sort(pdf["_t"].to_numpy())
-        opened = pdf["_open"].iat[0]
-        starts = [] if pd.isna(opened) else [int(opened)]
-        at = int(np.searchsorted(t, starts[0] + step)) if starts else 0
+    def walk(rows: dict) -> dict:
+        t, opened = rows["_t"], int(rows["_open"][0])
+        starts = [] if opened == NONE else [opened]
+        at = int(np.searchsorted(t, opened + step)) if starts else 0
         while at < len(t):
             starts.append(int(t[at]))
             at = int(np.searchsorted(t, t[at] + step))
         s = np.array(starts, dtype="int64")
-        return framed(names, {"_t": t, "_start": s[np.searchsorted(s, t, side="right") - 1], "_final": pdf["_final"].iat[0]})
-
-    assigned = (
-        times.join(opens, [*group, "_b"])
-        .groupBy(*group, "_b")
-        .applyInPandas(walk, schema("_t long, _start long, _final long"))
-        .filter("_start < _final")
-        .drop("_final")
-    )
+        return {"_t": t, "_start": s[np.searchsorted(s, t, side="right") - 1], "_final": rows["_final"]}
+
+    entries = times.join(opens, [*group, "_b"])
+    assigned = each_group(entries, [*group, "_b"], ["_t"], walk, schema("_t long, _start long, _final long")).filter("_start < _final").drop("_final")
     syn = F.coalesce(F.col("is_tcp"), F.lit(False)) & tcp_flag("tcp_flags", "syn")
     counted = base.groupBy(*group, "_t", "src_ip").agg(
         F.count(F.lit(1)).alias("_n"),
