@@ -1,3 +1,4 @@
+import re
 from collections import defaultdict
 from datetime import datetime, timedelta
 
@@ -199,3 +200,12 @@ def test_connection_records(spark):
     assert len(got) == 3 and (c.service, c.avg_win_orig, c.avg_win_resp, c.retrans_orig, c.retrans_resp) == ("http,ssl", 25.0, None, 1, 1)
     assert (c.flag_syn, c.flag_ack, c.iat_mean, c.iat_var, c.min_ttl_orig, c.orig_bytes, c.resp_pkts) == (2, 1, 2.0, 0.0, 64, 500, 0)
     assert (quiet.service, quiet.min_ttl_orig, quiet.avg_win_orig, quiet.flag_syn, quiet.iat_max, quiet.retrans_orig, quiet.frag_count) == ("-", None, None, 0, 0, 0, 0)
+
+
+def test_flows_in_a_given_number_of_tasks(spark):
+    rows = [packet(float(t), uid=f"c{t % 9}", src="a" if t % 2 else "b", orig=bool(t % 2)) for t in range(90)]
+    df = spark.createDataFrame(rows, PACKETS)
+    dealt = assemble_flows(df, 7)
+    assert sorted(map(str, dealt.collect())) == sorted(map(str, assemble_flows(df).collect()))
+    plan = dealt._jdf.queryExecution().executedPlan().toString()
+    assert set(re.findall(r"hashpartitioning\(uid[^)]*, (\d+)\)", plan)) == {"7"}, plan

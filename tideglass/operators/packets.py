@@ -15,7 +15,7 @@ MICROS = 1_000_000
 
 
 def arrival_gaps(
-    packets: DataFrame, uid: str = "uid", ts: str = "ts", levels: Sequence[int] = (1, 3_600)
+    packets: DataFrame, uid: str = "uid", ts: str = "ts", levels: Sequence[int] = (1, 3_600), partitions: int | None = None
 ) -> DataFrame:
     """Mean, maximum and population variance of the time between packets.
 
@@ -26,9 +26,13 @@ def arrival_gaps(
     keeps its number of gaps, their mean and the sum ``m2`` of squared distances
     from it; spans merge by their means, so no large squares are subtracted from
     each other. The mean of a span's gaps is its length by their number.
+    ``partitions`` is the number of tasks, the session's unless given.
     """
     us = F.lit(float(MICROS))
-    rows = packets.groupBy(uid, F.unix_micros(ts).alias("lo")).agg(F.count(F.lit(1)).alias("n"))
+    timed = packets.select(uid, F.unix_micros(ts).alias("lo"))
+    if partitions:
+        timed = timed.repartition(partitions, uid, "lo")
+    rows = timed.groupBy(uid, "lo").agg(F.count(F.lit(1)).alias("n"))
     rows = rows.withColumns({"hi": F.col("lo"), "m2": F.lit(0.0), "top": F.lit(0.0)})
 
     def mean_gap(length: Column, n: Column) -> Column:
@@ -37,6 +41,8 @@ def arrival_gaps(
     for size in (*levels, None):
         span = F.floor(F.col("lo") / F.lit(size * MICROS)) if size else F.lit(0)
         rows = rows.withColumn("_span", span.cast("long"))
+        if partitions:
+            rows = rows.repartition(partitions, uid, *(["_span"] if size else []))
         whole = Window.partitionBy(uid, "_span")
         gap = (F.col("lo") - F.lag("hi").over(whole.orderBy("lo"))) / us
         mean = mean_gap(F.max("hi").over(whole) - F.min("lo").over(whole), F.sum("n").over(whole))
@@ -61,8 +67,11 @@ def arrival_gaps(
     )
 
 
-def _packet_facts(packets: DataFrame) -> DataFrame:
-    """What packets tell about a connection; TCP windows as sums ``_win_orig`` and ``_win_resp``."""
+def _packet_facts(packets: DataFrame, partitions: int | None = None) -> DataFrame:
+    """What packets tell about a connection; TCP windows as sums ``_win_orig`` and ``_win_resp``.
+
+    With ``partitions`` all packets of a connection pass one of so many tasks, which keeps running aggregates only.
+    """
     orig, v4 = F.col("is_orig"), F.col("ip_version") == 4
     tcp = F.coalesce(F.col("is_tcp"), F.lit(False))
 
@@ -86,15 +95,16 @@ def _packet_facts(packets: DataFrame) -> DataFrame:
         ]
     for flag in TCP_FLAGS:
         aggs.append(F.count_if(tcp & tcp_flag("tcp_flags", flag)).alias(f"flag_{flag}"))
-    facts = packets.groupBy("uid").agg(*aggs).withColumn("frag_count", F.lit(0))
-    return facts.join(arrival_gaps(packets), "uid")
+    dealt = packets.repartition(partitions, "uid") if partitions else packets
+    facts = dealt.groupBy("uid").agg(*aggs).withColumn("frag_count", F.lit(0))
+    return facts.join(arrival_gaps(packets, partitions=partitions), "uid")
 
 
 def _mean_windows() -> dict[str, Column]:
     return {f"avg_win_{s}": F.try_divide(F.col(f"_win_{s}"), F.col(f"{s}_pkts")) for s in ("orig", "resp")}
 
 
-def assemble_flows(packets: DataFrame) -> DataFrame:
+def assemble_flows(packets: DataFrame, partitions: int | None = None) -> DataFrame:
     """One row per connection from its packets alone.
 
     Lifetimes and lengths count IPv4 packets only; TCP windows are summed over
@@ -102,10 +112,10 @@ def assemble_flows(packets: DataFrame) -> DataFrame:
     counts, service and history come from the connection record, see
     :func:`connection_flows`.
     """
-    return _packet_facts(packets).withColumns(_mean_windows()).drop("_win_orig", "_win_resp")
+    return _packet_facts(packets, partitions).withColumns(_mean_windows()).drop("_win_orig", "_win_resp")
 
 
-def connection_flows(connections: DataFrame, packets: DataFrame) -> DataFrame:
+def connection_flows(connections: DataFrame, packets: DataFrame, partitions: int | None = None) -> DataFrame:
     """Full flow records: the connection record joined with what its packets tell.
 
     ``connections`` has ``uid``, ``ts``, addresses, ports, ``proto``, ``service`` (text, or an array that is written in
@@ -115,8 +125,9 @@ def connection_flows(connections: DataFrame, packets: DataFrame) -> DataFrame:
     zeros for flags and gaps. Packets of no connection are left out. Both sides are hashed by ``uid`` once.
     """
     own = [*FLOWS.fieldNames()[:8], "duration", "orig_bytes", "resp_bytes", "orig_pkts", "resp_pkts", "history"]
-    facts = _packet_facts(packets).drop("ts", "src_ip", "dst_ip", "duration", "orig_pkts", "resp_pkts")
-    joined = connections.select(*own).join(facts, "uid", "left").withColumns(_mean_windows())
+    facts = _packet_facts(packets, partitions).drop("ts", "src_ip", "dst_ip", "duration", "orig_pkts", "resp_pkts")
+    own_rows = connections.select(*own)
+    joined = (own_rows.repartition(partitions, "uid") if partitions else own_rows).join(facts, "uid", "left").withColumns(_mean_windows())
     if isinstance(connections.schema["service"].dataType, T.ArrayType):
         joined = joined.withColumn("service", F.nullif(F.array_join(F.array_sort("service"), ","), F.lit("")))
     full = joined.withColumns(
