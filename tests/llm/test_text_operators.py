@@ -34,6 +34,31 @@ def test_token_counts(spark, documents):
     assert count_tokens(documents([]), path).count() == 0
 
 
+def test_packing_brings_pieces_back(monkeypatch):
+    """Pieces that left the younger half give the same ids when they come back."""
+    monkeypatch.setattr(packing, "HELD_WORDS", 0)
+    monkeypatch.setattr(packing, "HELD_PIECES", 6)
+    encoder = packing.Encoder(public_tokenizers.path("word_bpe_49k.json"))
+    texts = ["one two. three, 4x", "five six! seven,", "Two Three. ONE?", "eight nine ten. 4x", "one. two three ten"]
+    for text in texts * 3:
+        known = encoder.learn(set(text.split(" ")))
+        assert b"".join(known[w] for w in text.split(" ")) == np.array(encoder.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+
+
+def test_packing_holds_a_bounded_table():
+    """Of words that come once, a task holds the last ones only, and their ids are right."""
+    encoder = packing.Encoder(public_tokenizers.path("word_bpe_49k.json"))
+    letters = "abcdefghij"
+    for step in range(40):
+        stems = ["x" + "".join(letters[int(c)] for c in f"{i:05d}") for i in range(step * 1_000, (step + 1) * 1_000)]
+        words = {s + tail for s in stems for tail in ("", ".", ",", ";", ":", "!", "?", "*", "#", "%")}
+        known = encoder.learn(words)
+        assert words <= known.keys()
+        for word in sorted(words)[::1_999]:
+            assert np.frombuffer(known[word], "<u4").tolist() == encoder.tokenizer.encode(word, add_special_tokens=False).ids
+    assert sum(len(v) for v in vars(encoder).values() if isinstance(v, dict)) < 200_000
+
+
 def test_packing(spark, documents):
     path = public_tokenizers.path("word_bpe_49k.json")
     known = Tokenizer.from_file(path)

@@ -18,13 +18,19 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tideglass.llm.common import kept_table, text_blocks
+from tideglass.llm.common import give_back, kept_table, text_blocks
 
 CAPACITY = 4096
 #: Pieces that one task packs together.
 PER_TASK = 50_000
-#: Half of the encoded words that a task holds: when the younger half is full, it takes the place of the older one.
-HELD_WORDS = 400_000
+#: Bytes of text that a task splits into words together, unless one text is longer.
+SPLIT_BYTES = 1_000_000
+#: Words with their ids that a task goes on with; above that it begins anew with those of its next texts.
+HELD_WORDS = 100_000
+#: Half of the encoded pieces of words that a task holds: when the younger half is full, it takes the place of the older one.
+HELD_PIECES = 200_000
+#: Texts in a call of the tokenizer.
+CALLED = 4_096
 #: Signs that form a pre-token of their own behind a word of letters.
 TAIL = ".,;:!?*#$%&"
 #: Words of letters that are encoded as one text.
@@ -51,9 +57,8 @@ class Encoder:
         self.ends = np.zeros(max(vocabulary.values(), default=-1) + 1, bool)
         self.ends[[i for word, i in vocabulary.items() if word.endswith(suffix)]] = True
         self.words: dict[str, bytes] = {}
+        self.pieces: dict[str, bytes] = {}
         self.older: dict[str, bytes] = {}
-        self.stems: dict[str, bytes] = {}
-        self.older_stems: dict[str, bytes] = {}
 
     def _encode(self, texts: list[str]) -> list[np.ndarray]:
         return [np.asarray(got.ids, "<u4") for got in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
@@ -65,40 +70,47 @@ class Encoder:
             cuts = (np.flatnonzero(self.ends[ids]) + 1).tolist()
             if len(cuts) == len(group) and cuts[-1] == len(ids):
                 raw = ids.tobytes()
-                self.stems.update(zip(group, (raw[4 * x : 4 * y] for x, y in zip([0, *cuts], cuts))))
-        alone = [s for s in stems if s not in self.stems]
-        self.stems.update(zip(alone, (ids.tobytes() for ids in self._encode(alone)), strict=True))
+                self.pieces.update(zip(group, (raw[4 * x : 4 * y] for x, y in zip([0, *cuts], cuts))))
+        self._learn_pieces([s for s in stems if s not in self.pieces])
+
+    def _learn_pieces(self, pieces: list[str]) -> None:
+        """Encode each text by itself, a few thousand in a call."""
+        for i in range(0, len(pieces), CALLED):
+            own = pieces[i : i + CALLED]
+            self.pieces.update(zip(own, (ids.tobytes() for ids in self._encode(own)), strict=True))
+
+    def _unknown(self, pieces: set[str]) -> list[str]:
+        """Those of ``pieces`` that are not held; those held from earlier texts move to the younger half."""
+        new = []
+        for piece in pieces - self.pieces.keys():
+            if piece in self.older:
+                self.pieces[piece] = self.older.pop(piece)
+            else:
+                new.append(piece)
+        return new
 
     def learn(self, words: set[str]) -> dict[str, bytes]:
         """A table that holds the ids of all ``words``."""
         if len(self.words) > HELD_WORDS:
-            self.older, self.words = self.words, {}
-        if len(self.stems) > HELD_WORDS:
-            self.older_stems, self.stems = self.stems, {}
-        parted, whole, stems = [], [], set()
+            self.words = {}
+        if len(self.pieces) > HELD_PIECES:
+            self.older, self.pieces = self.pieces, {}
+        parted, stems, others = [], set(), set()
         for word in words - self.words.keys():
-            if word in self.older:
-                self.words[word] = self.older[word]
-                continue
             stem = word.rstrip(TAIL)
             if stem.isalpha() and (stem.isascii() or (max(stem) < "\u0250" and "\u0130" not in stem)):
                 low, tail = stem.lower(), word[len(stem) :]
                 parted.append((word, low, tail))
                 stems.add(low)
-                stems.add(tail)
-            else:
-                whole.append(word)
-        new = []
-        for stem in stems - self.stems.keys():
-            if stem in self.older_stems:
-                self.stems[stem] = self.older_stems[stem]
+                if tail:
+                    others.add(tail)
             else:
-                new.append(stem)
-        self._learn_stems([s for s in new if s.isalpha()])
-        other = [s for s in new if not s.isalpha()]
-        self.stems.update(zip(other, (ids.tobytes() for ids in self._encode(other)), strict=True))
-        self.words.update((word, self.stems[low] + self.stems[tail] if tail else self.stems[low]) for word, low, tail in parted)
-        self.words.update(zip(whole, (ids.tobytes() for ids in self._encode(whole)), strict=True))
+                parted.append((word, word, ""))
+                others.add(word)
+        self._learn_stems(self._unknown(stems))
+        self._learn_pieces(self._unknown(others))
+        own = self.pieces
+        self.words.update((word, own[low] + own[tail] if tail else own[low]) for word, low, tail in parted)
         return self.words
 
 
@@ -106,7 +118,7 @@ def _pieces(path: str, end_id: int, capacity: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = Encoder(path)
         end = end_id.to_bytes(4, "little")
-        for batch in text_blocks(batches, "text"):
+        for batch in text_blocks(batches, "text", SPLIT_BYTES):
             # The tokenizer drops white space and joins nothing across it, and lower-cases what it reads.
             texts = [(t.lower() if t.isascii() and "<|" not in t else t).replace("\n", " ").split(" ") if t else [] for t in batch.column("text").to_pylist()]
             known = encoder.learn(set().union(*texts))
@@ -121,6 +133,9 @@ def _pieces(path: str, end_id: int, capacity: int):
                     lengths.append(len(own) // 4)
                     sums.append(zlib.crc32(own))
             yield pa.record_batch([pa.array(ids, pa.int64()), pa.array(parts, pa.int32()), *(pa.array(x, pa.int64()) for x in (starts, lengths, sums))], ["doc_id", "piece", "start", "length", "ids_crc32"])
+        # The worker lives on: its tables go before the memory is given back.
+        encoder = known = texts = None
+        give_back()
 
     return run
 
