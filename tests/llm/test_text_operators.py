@@ -5,6 +5,7 @@ from itertools import combinations
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 from tokenizers import Tokenizer
 
@@ -100,6 +101,27 @@ def test_encoder_equals_the_library(monkeypatch):
         assert b"".join(known[w] for w in parts) == b"".join(i.to_bytes(4, "little") for i in want), text[:80]
 
 
+def test_words_are_cut_as_the_library_reads_them(monkeypatch):
+    """Texts of one block: a word is learned once whatever sign follows it, and the ids are those of the whole text."""
+    path = public_tokenizers.path("word_bpe_49k.json")
+    known = Tokenizer.from_file(path)
+    asked, learn = set(), packing.Encoder.learn
+    monkeypatch.setattr(packing.Encoder, "learn", lambda self, words: asked.update(words) or learn(self, words))
+    plain = ["harbour, harbour. harbour; Harbour: harbour! harbour?\nharbour", "Harbour.", "12, 12."]
+    odd = [t for t in ODD] + [
+        None, "", " ", ".", "...", "a.. b.,", ". a", "'s. 'l. it's, \u00e9l\u00e8ve. \u00d7. \u00f7, \u00ff! \u00aa; \u00b5: \u00b2.", "\u0130. \u03a3\u03a3. E\u0301. e\u0301, H\u0331. I\u0307, A \u0301.",
+        "<|ENDOFTEXT|> A. <|endoftext|>. B, <|startoftext|>", "A\tb.\r\nC,\x0bD.\x0cE", "\u00a0A. \u0085b, \u2003c. \u4e2d. \U0001f600, x\U0001f600. y", "\u00c3. \u0103. \u0103", "A", "\u0301a. b",
+    ]
+    for texts in (plain, odd, plain + odd):
+        rows = pa.record_batch([pa.array(range(len(texts)), pa.int64()), pa.array(texts, pa.string())], ["doc_id", "text"])
+        got = pa.Table.from_batches(packing._pieces(path, 1, 4096)(iter([rows.slice(1), rows]))).to_pylist()[len(texts) - 1 :]
+        want = [[*known.encode(t or "", add_special_tokens=False).ids, 1] for t in texts]
+        assert [r["length"] for r in got] == [len(w) for w in want]
+        assert [r["ids_crc32"] for r in got] == [zlib.crc32(np.array(w, "<u4").tobytes()) for w in want]
+        if texts is plain:
+            assert asked == {"harbour", ",", ".", ";", ":", "!", "?", "12"}
+
+
 def test_bounds_hold():
     rng = np.random.default_rng(1)
     for n in (1, 5, 40, 300):

@@ -15,17 +15,19 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute  # noqa: F401
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tideglass.llm.common import give_back, kept_table, text_blocks
+from tideglass.llm.words import text_bytes
 
 CAPACITY = 4096
 #: Pieces that one task packs together.
 PER_TASK = 50_000
 #: Bytes of text that a task splits into words together, unless one text is longer.
-SPLIT_BYTES = 1_000_000
-#: Words with their ids that a task goes on with; above that it begins anew with those of its next texts.
+SPLIT_BYTES = 4_000_000
+#: Words of several pieces with their ids that a task goes on with; above that it begins anew with those of its next texts.
 HELD_WORDS = 100_000
 #: Half of the encoded pieces of words that a task holds: when the younger half is full, it takes the place of the older one.
 HELD_PIECES = 200_000
@@ -41,8 +43,8 @@ ROUNDS = 4
 class Encoder:
     """Ids of words, as little-endian bytes: each is encoded once and held while it is in use.
 
-    A word of Latin letters with signs behind it is two pre-tokens; its letters are encoded in lower case and looked
-    up apart from the signs, many such words as one text, whose words end where an id ends a word in the vocabulary.
+    Words of Latin letters are encoded in lower case, many as one text, whose words end where an id ends a word in the
+    vocabulary. Signs behind such a word are a pre-token of their own and looked up apart from it.
     """
 
     def __init__(self, path: str) -> None:
@@ -66,12 +68,17 @@ class Encoder:
     def _learn_stems(self, stems: list[str]) -> None:
         """Encode words of letters only, ``JOINED`` at a time."""
         groups = [stems[i : i + JOINED] for i in range(0, len(stems), JOINED)] if len(self.ends) else []
-        for group, ids in zip(groups, self._encode([" ".join(g) for g in groups]), strict=True):
-            cuts = (np.flatnonzero(self.ends[ids]) + 1).tolist()
-            if len(cuts) == len(group) and cuts[-1] == len(ids):
-                raw = ids.tobytes()
-                self.pieces.update(zip(group, (raw[4 * x : 4 * y] for x, y in zip([0, *cuts], cuts))))
-        self._learn_pieces([s for s in stems if s not in self.pieces])
+        whole = [] if groups else stems
+        for at in range(0, len(groups), CALLED // JOINED):
+            own = groups[at : at + CALLED // JOINED]
+            for group, ids in zip(own, self._encode([" ".join(g) for g in own]), strict=True):
+                cuts = ((np.flatnonzero(self.ends[ids]) + 1) * 4).tolist()
+                if len(cuts) == len(group) and cuts[-1] == 4 * len(ids):
+                    raw = ids.tobytes()
+                    self.pieces.update(zip(group, [raw[x:y] for x, y in zip([0, *cuts], cuts)]))
+                else:
+                    whole += group
+        self._learn_pieces(whole)
 
     def _learn_pieces(self, pieces: list[str]) -> None:
         """Encode each text by itself, a few thousand in a call."""
@@ -79,39 +86,81 @@ class Encoder:
             own = pieces[i : i + CALLED]
             self.pieces.update(zip(own, (ids.tobytes() for ids in self._encode(own)), strict=True))
 
-    def _unknown(self, pieces: set[str]) -> list[str]:
+    def _unknown(self, pieces: set[str]) -> set[str]:
         """Those of ``pieces`` that are not held; those held from earlier texts move to the younger half."""
-        new = []
-        for piece in pieces - self.pieces.keys():
-            if piece in self.older:
-                self.pieces[piece] = self.older.pop(piece)
-            else:
-                new.append(piece)
-        return new
+        new = pieces.difference(self.pieces)  # looks each one up; a view of the keys would go through the whole table
+        back = [piece for piece in new if piece in self.older]
+        self.pieces.update(zip(back, map(self.older.pop, back)))
+        return new.difference(back)
 
     def learn(self, words: set[str]) -> dict[str, bytes]:
-        """A table that holds the ids of all ``words``."""
+        """The ids of all ``words``."""
         if len(self.words) > HELD_WORDS:
             self.words = {}
         if len(self.pieces) > HELD_PIECES:
             self.older, self.pieces = self.pieces, {}
-        parted, stems, others = [], set(), set()
-        for word in words - self.words.keys():
+        new = self._unknown(words.difference(self.words))
+        stems = [word for word in new if word.isalpha() and word.islower() and (word.isascii() or is_plain(word))]
+        parted, lows, others = [], set(), set()
+        for word in new.difference(stems):
             stem = word.rstrip(TAIL)
-            if stem.isalpha() and (stem.isascii() or (max(stem) < "\u0250" and "\u0130" not in stem)):
+            if stem.isalpha() and is_plain(stem):
                 low, tail = stem.lower(), word[len(stem) :]
                 parted.append((word, low, tail))
-                stems.add(low)
+                lows.add(low)
                 if tail:
                     others.add(tail)
             else:
-                parted.append((word, word, ""))
                 others.add(word)
-        self._learn_stems(self._unknown(stems))
-        self._learn_pieces(self._unknown(others))
-        own = self.pieces
-        self.words.update((word, own[low] + own[tail] if tail else own[low]) for word, low, tail in parted)
-        return self.words
+        self._learn_stems(stems)
+        self._learn_stems(list(self._unknown(lows)))
+        self._learn_pieces(list(self._unknown(others)))
+        own, several = self.pieces, self.words
+        several.update([(word, own[low] + own[tail] if tail else own[low]) for word, low, tail in parted])
+        return {word: ids if (ids := own.get(word)) is not None else several[word] for word in words}
+
+
+def is_plain(word: str) -> bool:
+    """Whether Python and the tokenizer agree on the lower case of a word of letters, and no letter is composed."""
+    return word.isascii() or (max(word) < "\u0250" and "\u0130" not in word)
+
+
+_BREAK = np.isin(np.arange(256), [0x20, *range(0x09, 0x0E)])
+_SIGN = np.isin(np.arange(256), list(b".,;:!?"))
+_ALNUM = np.array([chr(c).isalnum() and c < 128 for c in range(256)])
+_LOWER = bytes(0x20 if _BREAK[c] else c + 32 if ord("A") <= c <= ord("Z") else c for c in range(256))
+#: First byte of the characters from U+0300 on, which a letter before them may be composed with.
+_MARKS = 0xCC
+
+
+def cut_words(texts: pa.Array) -> tuple[pa.DictionaryArray, np.ndarray]:
+    """Words of all texts in a row, many with a space before them, and where those of each text begin.
+
+    Words are encoded apart: the tokenizer drops white space, joins nothing across it and lower-cases what it reads. A
+    sign between a letter or digit and white space is a word: it is a pre-token of its own.
+    """
+    raw, offsets = text_bytes(texts)
+    if not len(raw):
+        return pa.array([], pa.large_string()).dictionary_encode(), np.zeros(len(offsets), np.int64)
+    held = raw.tobytes()
+    low = np.frombuffer(bytearray(held.translate(_LOWER)), np.uint8)
+    upper = np.flatnonzero(raw[1:] >= _MARKS)
+    low[upper] = np.where(_ALNUM[raw[upper]], raw[upper], low[upper])
+    if b"<|" in held:  # special strings are found before letters are lower-cased
+        for a, b in zip(offsets[:-1], offsets[1:], strict=True):
+            if b"<|" in held[a:b]:
+                low[a:b] = np.where(_BREAK[raw[a:b]], low[a:b], raw[a:b])
+    cut = low == 0x20
+    last = np.concatenate((cut[1:], [True]))
+    starts = offsets[:-1][np.diff(offsets) > 0]
+    last[starts - 1] = True  # the byte before a text ends one
+    at = np.flatnonzero(_SIGN[raw] & last)
+    before = raw[at - 1]
+    cut[at] = _ALNUM[before] | ((raw[at - 2] == 0xC3) & (before >= 0x80) & (before != 0x97) & (before != 0xB7))  # or a letter of U+00C0 to U+00FF
+    cut[starts] = True
+    cuts = np.flatnonzero(cut)
+    words = pa.Array.from_buffers(pa.large_string(), len(cuts), [None, pa.py_buffer(np.append(cuts, len(raw))), pa.py_buffer(low)])
+    return words.dictionary_encode(), np.searchsorted(cuts, offsets)
 
 
 def _pieces(path: str, end_id: int, capacity: int):
@@ -119,12 +168,14 @@ def _pieces(path: str, end_id: int, capacity: int):
         encoder = Encoder(path)
         end = end_id.to_bytes(4, "little")
         for batch in text_blocks(batches, "text", SPLIT_BYTES):
-            # The tokenizer drops white space and joins nothing across it, and lower-cases what it reads.
-            texts = [(t.lower() if t.isascii() and "<|" not in t else t).replace("\n", " ").split(" ") if t else [] for t in batch.column("text").to_pylist()]
-            known = encoder.learn(set().union(*texts))
+            cut, first = cut_words(batch.column("text"))
+            words = pa.compute.ascii_trim(cut.dictionary, " ").to_numpy(zero_copy_only=False).tolist()
+            known = encoder.learn(set(words))
+            ids_of = list(map(known.__getitem__, words)).__getitem__
+            which, first = cut.indices.to_numpy(), first.tolist()
             ids, parts, starts, lengths, sums = [], [], [], [], []
-            for doc, words in zip(batch.column("doc_id").to_pylist(), texts, strict=True):
-                raw = b"".join(map(known.__getitem__, words)) + end
+            for doc, a, b in zip(batch.column("doc_id").to_pylist(), first[:-1], first[1:], strict=True):
+                raw = b"".join(map(ids_of, which[a:b].tolist())) + end
                 for part, at in enumerate(range(0, len(raw), 4 * capacity)):
                     own = raw[at : at + 4 * capacity]
                     ids.append(doc)
@@ -134,7 +185,7 @@ def _pieces(path: str, end_id: int, capacity: int):
                     sums.append(zlib.crc32(own))
             yield pa.record_batch([pa.array(ids, pa.int64()), pa.array(parts, pa.int32()), *(pa.array(x, pa.int64()) for x in (starts, lengths, sums))], ["doc_id", "piece", "start", "length", "ids_crc32"])
         # The worker lives on: its tables go before the memory is given back.
-        encoder = known = texts = None
+        encoder = known = words = ids_of = which = cut = None
         give_back()
 
     return run
