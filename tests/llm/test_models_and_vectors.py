@@ -1,4 +1,5 @@
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import functions as F
 
 from tideglass.llm import language, language_model, toxicity
@@ -43,6 +44,21 @@ def test_most_weights_are_zero():
     assert abs(language.calibrate(np.array([[2.0, 0.0]] * 100), np.array([0] * 73 + [1] * 27)) - 2.0) < 0.05
 
 
+def test_toxicity_sends_counts_in_parts():
+    """Counts of a task leave it in bounded parts, each n-gram once, and are those of all texts."""
+    rng = np.random.default_rng(3)
+    texts = ["".join(map(chr, rng.integers(97, 123, 60_000))) for _ in range(6)] + [None, ""]
+    labels = np.array([0, 1, 0, 1, 1, 0, 1, 0])
+    batch = pa.record_batch([pa.array(texts, pa.string()), pa.array(labels, pa.int32())], ["text", "label"])
+    parts = list(toxicity._count(iter([batch.slice(0, 3), batch.slice(3)])))
+    assert len(parts) > 1 and max(p.num_rows for p in parts) <= toxicity.SENT
+    got = pa.Table.from_batches(parts).to_pydict()
+    docs, grams = toxicity._present(texts, None)
+    want = [np.bincount(grams[labels[docs] == y], minlength=1 << toxicity.BITS) for y in (0, 1)]
+    at = np.flatnonzero(want[0] + want[1])
+    assert got == {"gram": at.tolist(), "n0": want[0][at].tolist(), "n1": want[1][at].tolist()}
+
+
 def test_toxicity(spark):
     rng = np.random.default_rng(2)
     rows, labels = [], []

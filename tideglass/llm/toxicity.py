@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tideglass.llm.common import bound_batches, held_out, kept_table, text_blocks
+from tideglass.llm.common import bound_batches, give_back, held_out, kept_table, text_blocks
 from tideglass.llm.ngrams import code_points, hashed
 
 #: Bound of the labelled rows the model is fitted on.
@@ -26,6 +26,8 @@ FEATURES = 3_000
 THRESHOLD = 0.3
 #: Bytes of text whose n-grams are held together, unless one text is longer: all of them when counting, few when scoring.
 COUNT_BYTES, SCORE_BYTES = 250_000, 500_000
+#: Hashed n-grams whose counts leave a task together.
+SENT = 1 << 16
 
 
 @dataclass
@@ -55,8 +57,13 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         docs, grams = _present(batch.column("text").to_pylist(), None)
         for y in (0, 1):
             counts[y] += np.bincount(grams[labels[docs] == y], minlength=1 << BITS)
-    at = np.flatnonzero(counts.any(axis=0))
-    yield pa.record_batch([pa.array(at), pa.array(counts[0][at]), pa.array(counts[1][at])], ["gram", "n0", "n1"])
+    for start in range(0, 1 << BITS, SENT):
+        part = counts[:, start : start + SENT]
+        at = np.flatnonzero(part.any(axis=0))
+        yield pa.record_batch([pa.array(at + start), pa.array(part[0][at]), pa.array(part[1][at])], ["gram", "n0", "n1"])
+    # The worker lives on: its counts go before the memory is given back.
+    counts = part = batch = None
+    give_back()
 
 
 def _fit(rows: list[np.ndarray], labels: np.ndarray, size: int, steps: int = 300, ridge: float = 0.5) -> tuple[np.ndarray, float]:
