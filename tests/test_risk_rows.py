@@ -1,0 +1,25 @@
+from datetime import datetime, timedelta
+
+from pyspark.sql import functions as F
+
+from tideglass.plans import catalog_models
+
+
+def test_windows_are_computed_before_the_split(spark, tmp_path, monkeypatch):
+    """The split reads its rows three times: it gets a written table, not the plan of all windows and labels."""
+    start = datetime(2024, 1, 1)
+    kinds = ["view", "click", "signup", "purchase", "error"]
+    rows = [(i, start + timedelta(hours=i % 40), i % 3, kinds[i % 5], float(i % 7), f'{{"k": "{i % 9}"}}') for i in range(200)]
+    spark.createDataFrame(rows, "event_id long, ts timestamp_ntz, user_id long, event_type string, value double, props string").write.parquet(str(tmp_path / "events.parquet"))
+    seen, split = [], catalog_models.sampling.stratified_split
+
+    def caught(df, *args, **more):
+        seen.append(df)
+        return split(df, *args, **more)
+
+    monkeypatch.setattr(catalog_models.sampling, "stratified_split", caught)
+    out = catalog_models._risk_rows(spark, str(tmp_path))
+    plan = seen[0]._jdf.queryExecution().optimizedPlan().toString()
+    assert "Window" not in plan and "Join" not in plan and "Aggregate" not in plan
+    assert out.count() == seen[0].count() == out.select("id").distinct().count() > 0
+    assert out.filter(F.col("part") == "test").count() > 0
